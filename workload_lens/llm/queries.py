@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repair
+from . import langid, packing, repair
 from .common import fresh_path, read_table
 
 
@@ -23,6 +23,19 @@ def op1_repair_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_archive(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repair_archive": op1_repair_archive}
+def op2_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    model = langid.fit(docs, usable=~held_out)
+    found = langid.classify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "lang_rejected")
+
+
+def op3_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair_archive, op2_compression_langid, op3_best_two_fit_packing)}
 
 ORACLES: dict[str, str] = {}
