@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, repair
+from . import langid, packing, repair, resample
 from .common import fresh_path, read_table
 
 
@@ -36,6 +36,12 @@ def op3_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair_archive, op2_compression_langid, op3_best_two_fit_packing)}
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return resample.resample(docs, resample.fit(docs, good)).select("doc_id", "log_weight", "n_ngrams", "gumbel_key", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair_archive, op2_compression_langid, op3_best_two_fit_packing, op4_importance_resampling)}
 
 ORACLES: dict[str, str] = {}
