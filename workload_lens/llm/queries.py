@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, repair, resample
+from . import chat, langid, mixing, packing, probminhash, repair, resample
 from .common import fresh_path, read_table
 
 
@@ -42,6 +42,19 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, resample.fit(docs, good)).select("doc_id", "log_weight", "n_ngrams", "gumbel_key", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair_archive, op2_compression_langid, op3_best_two_fit_packing, op4_importance_resampling)}
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "shuffle_key")
 
-ORACLES: dict[str, str] = {}
+
+def op6_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
+
+
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = probminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair_archive, op2_compression_langid, op3_best_two_fit_packing, op4_importance_resampling, op5_poisson_mixing, op6_snapshot_collapse, op7_probminhash)}
+
+ORACLES: dict[str, str] = {"op5_poisson_mixing": mixing.oracle(), "op6_snapshot_collapse": chat.oracle()}
