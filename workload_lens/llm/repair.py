@@ -43,10 +43,18 @@ ARCHIVE = T.StructType(
 )
 
 
-def _pairs(seq: np.ndarray, last: np.ndarray, min_count: int, most: int) -> list[tuple[int, int]]:
+def _keys(left: np.ndarray, right: np.ndarray, narrow: bool) -> np.ndarray:
+    """Pairs as whole numbers; narrow ones when all ids are below 2^16."""
+    if narrow:
+        return (left << np.uint32(16)) | right
+    return (left.astype(np.uint64) << np.uint64(32)) | right
+
+
+def _pairs(seq: np.ndarray, last: np.ndarray, narrow: bool, min_count: int, most: int) -> list[tuple[int, int]]:
     """Pairs to replace in this round: frequent, and never overlapping."""
-    key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
-    key = np.sort(key[~last[:-1]])
+    inner = ~last[:-1]
+    key = _keys(seq[:-1][inner], seq[1:][inner], narrow)
+    key.sort()
     if not len(key):
         return []
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -55,8 +63,9 @@ def _pairs(seq: np.ndarray, last: np.ndarray, min_count: int, most: int) -> list
     key, count = key[edge[often]], count[often]
     order = np.lexsort((key, -count))[: 4 * most]
     left, right, chosen = set(), set(), []
+    bits, low = (16, 0xFFFF) if narrow else (32, 0xFFFFFFFF)
     for k in key[order].tolist():
-        a, b = k >> 32, k & 0xFFFFFFFF
+        a, b = k >> bits, k & low
         if a in right or b in left or (a == b and a in left):
             continue
         left.add(a)
@@ -76,23 +85,26 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, min_count: int = 1
     last = np.zeros(len(seq), dtype=bool)
     last[ends - 1] = True
     rules: list[tuple[int, int]] = []
+    narrow = base + max_rules <= 1 << 16
     for _ in range(rounds):
         if len(seq) < 2 or len(rules) >= max_rules:
             break
-        chosen = _pairs(seq, last, min_count, min(2048, max_rules - len(rules)))
+        chosen = _pairs(seq, last, narrow, min_count, min(2048, max_rules - len(rules)))
         if not chosen:
             break
         # a left part may have many right parts: look the pair up by its key
-        keys = np.array([(a << 32) | b for a, b in chosen], dtype=np.uint64)
+        both = np.array(chosen, dtype=np.uint32)
+        keys = _keys(both[:, 0], both[:, 1], narrow)
         order = np.argsort(keys)
+        ranked = keys[order]
         is_left = np.zeros(base + len(rules) + 1, dtype=bool)
         is_right = is_left.copy()
         is_left[[a for a, _ in chosen]] = True
         is_right[[b for _, b in chosen]] = True
         at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
-        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1].astype(np.uint64)
-        slot = np.minimum(np.searchsorted(keys[order], key), len(keys) - 1)
-        hit = keys[order][slot] == key
+        key = _keys(seq[at], seq[at + 1], narrow)
+        slot = np.minimum(np.searchsorted(ranked, key), len(keys) - 1)
+        hit = ranked[slot] == key
         at, new = at[hit], order[slot[hit]]
         # runs of one id: every other position from the run's start
         run = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))

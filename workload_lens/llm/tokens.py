@@ -91,7 +91,10 @@ class Encoder:
         space = "" if lead == "\n" else " "
         if core.isalpha():
             tail = body[len(core) :]
-            return head + self._word(space + core) + (self._part(tail) if tail else b"")
+            if not tail:
+                return head + self._word(space + core)
+            known = self.chunks.get(lead + core if head else core) or self.chunks.old.get(lead + core if head else core)
+            return (known or head + self._word(space + core)) + self._part(tail)
         return head + self._pack(self.tokenizer.encode(space + body, add_special_tokens=False).ids)
 
     def _part(self, part: str) -> bytes:
