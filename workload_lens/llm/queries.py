@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, probminhash, repair, resample
+from . import chat, jpeg, langid, mixing, packing, probminhash, repair, resample, warc
 from .common import fresh_path, read_table
 
 
@@ -55,6 +55,26 @@ def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair_archive, op2_compression_langid, op3_best_two_fit_packing, op4_importance_resampling, op5_poisson_mixing, op6_snapshot_collapse, op7_probminhash)}
+def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(read_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = jpeg.store(read_table(spark, sf_dir, "documents"))
+    found = jpeg.describe(stored, with_payload=True)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumb_hash").alias("feature"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair_archive, op2_compression_langid, op3_best_two_fit_packing, op4_importance_resampling, op5_poisson_mixing, op6_snapshot_collapse, op7_probminhash, op9_splittable_warc, op10_baseline_jpeg)}
 
 ORACLES: dict[str, str] = {"op5_poisson_mixing": mixing.oracle(), "op6_snapshot_collapse": chat.oracle()}
