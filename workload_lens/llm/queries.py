@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jpeg, langid, mixing, packing, probminhash, repair, resample, warc
+from . import chat, jpeg, langid, mixing, outliers, packing, probminhash, repair, resample, warc
 from .common import fresh_path, read_table
 
 
@@ -55,6 +55,11 @@ def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
+def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outliers.outliers(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source")
+
+
 def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write(read_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -75,6 +80,6 @@ def op10_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair_archive, op2_compression_langid, op3_best_two_fit_packing, op4_importance_resampling, op5_poisson_mixing, op6_snapshot_collapse, op7_probminhash, op9_splittable_warc, op10_baseline_jpeg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair_archive, op2_compression_langid, op3_best_two_fit_packing, op4_importance_resampling, op5_poisson_mixing, op6_snapshot_collapse, op7_probminhash, op8_robust_outliers, op9_splittable_warc, op10_baseline_jpeg)}
 
 ORACLES: dict[str, str] = {"op5_poisson_mixing": mixing.oracle(), "op6_snapshot_collapse": chat.oracle()}
