@@ -53,7 +53,7 @@ def lowered(column):
     return pa.array([x.lower() if x else None for x in column.to_pylist()], pa.string())
 
 
-def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_labels: int = 20_000, smoothing: float = 1.0) -> np.ndarray:
+def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_labels: int = 20_000, smoothing: float = 20.0) -> np.ndarray:
     """Log ratio of target to raw probability for each bucket.
 
     ``good`` has an ``id`` column: the documents of the target. At most
