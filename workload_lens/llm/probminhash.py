@@ -10,10 +10,12 @@ and classes are the connected components of pairs at ``threshold`` or more.
 
 Equal texts are one node from the start. In a bucket of a band every node is
 compared with the smallest one (a star, not all pairs). Buckets whose nodes are
-then still in several components get further stars around their smallest node
-outside the first component, and what remains after ``star_rounds`` of them is
-compared completely, component against component; so no pair that shares a
-bucket is left untested unless its nodes are already in one class.
+then still in several components get ``star_rounds`` further stars around their
+smallest node outside the first component. The texts of buckets that are mixed
+even then go through an exact filter (``prefixes``): they are compared at their
+rare elements, with two hubs first and then completely, as far as the bound on
+their similarity allows. So no pair that shares a bucket is left untested unless
+it can't be similar or its nodes are already in one class.
 
 Defined results: a null text or id is a class of its own (its class id is the
 id); equal texts, empty ones included, are one class; texts without words are
@@ -24,7 +26,7 @@ table gives no rows. The class id is the smallest id of the class.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, buffers, materialize, mix64, text_batches
@@ -179,7 +181,117 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bands: int = 25, rows: int = 5, threshold: float = 0.8, star_rounds: int = 2) -> DataFrame:
+def element_counts(texts: DataFrame, shingle: int, size: int = 1 << 18) -> np.ndarray:
+    """Roughly how many texts have an element, by its hash modulo ``size``; never too few.
+
+    Every task gives one row of counts and 16 tasks add them up, so what reaches
+    the driver is bounded by ``size``.
+    """
+
+    def give(total: np.ndarray):
+        import pyarrow as pa
+
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.int64())) for x in (at, total[at])], names=["at", "n"])
+
+    def count(batches):
+        hasher, total = WordHasher(), np.zeros(size, np.int64)
+        for batch in text_batches(batches, "text", 2 << 20):
+            elements, _, _ = shingles(*hasher(*buffers(batch.column(1))), shingle)
+            total += np.bincount((elements % np.uint64(size)).astype(np.int64), minlength=size)
+        yield give(total)
+
+    def add(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for at, n in zip(batch.column(0), batch.column(1)):
+                total[at.values.to_numpy()] += n.values.to_numpy()
+        yield give(total)
+
+    kind = "at array<long>, n array<long>"
+    out = np.zeros(size, np.int64)
+    for row in texts.select("id", "text").mapInArrow(count, kind).repartition(16).mapInArrow(add, kind).toLocalIterator():
+        out[row["at"]] += np.array(row["n"], dtype=np.int64)
+    return out
+
+
+def prefixes(texts: DataFrame, *, shingle: int, slack: float) -> DataFrame:
+    """Rows (element, id, excess) that every similar pair meets in; an exact filter.
+
+    A text's elements are ordered, rare ones first by ``element_counts``. Let z be
+    the first element that two texts share, and A and B the shares of their weight
+    before it. Their probability Jaccard similarity is then at most
+    ``1 / (1 / (1 - A) + 1 / (1 - B) - 1)``, so at ``threshold`` or more the excesses
+    ``A / (1 - A)`` and ``B / (1 - B)`` add up to at most ``slack = 1 / threshold - 1``.
+    A text gives the elements whose own excess allows that and that another text
+    may have.
+    """
+    counts = element_counts(texts, shingle)
+
+    def give(batches):
+        import pyarrow as pa
+
+        hasher = WordHasher()
+        for batch in text_batches(batches, "text", 2 << 20):
+            elements, weights, text = shingles(*hasher(*buffers(batch.column(1))), shingle)
+            if not len(elements):
+                continue
+            often = counts[(elements % np.uint64(len(counts))).astype(np.int64)]
+            order = np.lexsort((elements, often, text))
+            elements, weights, text, often = elements[order], weights[order], text[order], often[order]
+            before = np.cumsum(weights) - weights
+            first = np.searchsorted(text, text)
+            share = (before - before[first]) / np.bincount(text, weights)[text]
+            excess = share / (1.0 - share)
+            keep = (excess <= slack + 1e-9) & (often > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(elements[keep].view(np.int64)), batch.column(0).take(pa.array(text[keep])), pa.array(excess[keep])], names=["element", "id", "excess"])
+
+    return texts.select("id", "text").mapInArrow(give, "element long, id long, excess double")
+
+
+def bitmaps(texts: DataFrame, *, shingle: int, words: int = 32) -> DataFrame:
+    """(id, weight, bits): a text's weight and the hash cells its elements are in.
+
+    Every cell of one text that another has not holds an element they don't share.
+    """
+
+    def give(batches):
+        import pyarrow as pa
+
+        hasher = WordHasher()
+        for batch in text_batches(batches, "text", 2 << 20):
+            elements, weights, text = shingles(*hasher(*buffers(batch.column(1))), shingle)
+            n = batch.num_rows
+            bits = np.zeros((n, words * 64), dtype=np.uint8)
+            bits[text, (mix64(elements) % np.uint64(words * 64)).astype(np.int64)] = 1
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words), pa.array(np.packbits(bits, axis=1).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(text, weights, n)), lists], names=["id", "weight", "bits"])
+
+    return texts.select("id", "text").mapInArrow(give, "id long, weight double, bits array<long>")
+
+
+def _shared(bits: str, other: str, weight: str) -> Column:
+    """At most this share of a text's weight is on elements that the other has too."""
+    cells = F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.greatest(1 - F.aggregate(cells, F.lit(0), lambda x, y: x + y) / F.col(weight), F.lit(1e-9))
+
+
+def linkable(rows: DataFrame, slack: float) -> DataFrame:
+    """Rows (element, id, excess, label) with a possible partner in another component.
+
+    Adds the element's two best hubs, ``first`` and ``second``: the row of least
+    excess, and that outside its component. A row without a partner at the nearest
+    hub of another component has none at all.
+    """
+    best = F.min(F.struct("excess", "id", "label"))
+    near = rows.join(rows.groupBy("element").agg(best.alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element", "first"), "element")
+    second = near.where(F.col("label") != F.col("first.label")).groupBy("element").agg(best.alias("second"))
+    near = near.join(second, "element")
+    partner = F.when(F.col("label") == F.col("first.label"), F.col("second.excess")).otherwise(F.col("first.excess"))
+    return near.where(F.col("excess") + partner <= slack + 1e-9)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bands: int = 25, rows: int = 5, threshold: float = 0.8, star_rounds: int = 1) -> DataFrame:
     """One row a document: id, node (smallest id with an equal text), class_id."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     usable = slim.where("id is not null and text is not null")
@@ -197,26 +309,54 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = materialize(verified(asked, texts, shingle=shingle, threshold=threshold), "verified")
     labels = components(links)
 
-    for turn in range(star_rounds + 1):
-        # Buckets whose nodes are in several components still.
-        labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest <> highest").select("key", "lowest")
-        open_ = materialize(labelled.join(mixed, "key"), "open")
-        if turn < star_rounds:
-            hubs = open_.where("label <> lowest").groupBy("key").agg(F.min(F.struct("id", "label")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"))
-            more = open_.join(hubs, "key").where("label <> hub_label").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        else:
-            other = open_.select("key", F.col("id").alias("b"), F.col("label").alias("other"))
-            more = open_.join(other, "key").where("label < other").select(F.col("id").alias("a"), "b")
+    def ask(more: DataFrame) -> bool:
+        """Compare the pairs that were not compared yet; whether there were any."""
+        nonlocal asked, links, labels
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = materialize(more.join(asked, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count() == 0:
-            break
+            return False
         asked = materialize(asked.union(more), "pairs")
         found = materialize(verified(more, texts, shingle=shingle, threshold=threshold), "verified")
         if found.limit(1).count():
             links = materialize(links.union(found), "verified")
             labels = components(links)
+        return True
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        named = rows.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        return named.select(*rows.columns, F.coalesce("label", "id").alias("label"))
+
+    def mixed_buckets() -> DataFrame:
+        """The rows of buckets whose nodes are in several components still."""
+        rows = labelled(members.select("key", "id"))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest <> highest").select("key", "lowest")
+        return materialize(rows.join(mixed, "key"), "open")
+
+    open_ = mixed_buckets()
+    for _ in range(star_rounds):
+        hubs = open_.where("label <> lowest").groupBy("key").agg(F.min(F.struct("id", "label")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"))
+        if not ask(open_.join(hubs, "key").where("label <> hub_label").select(F.col("hub").alias("a"), F.col("id").alias("b"))):
+            break
+        open_ = mixed_buckets()
+    rest = texts.join(open_.select("id").distinct(), "id", "left_semi")
+    if rest.limit(1).count():
+        slack = 1.0 / threshold - 1.0
+        parts = materialize(prefixes(rest, shingle=shingle, slack=slack), "prefixes")
+        for turn in ("first", "second", "all"):
+            near = linkable(labelled(parts), slack)
+            if turn == "all":
+                near = materialize(near.select("element", "id", "excess", "label"), "linkable")
+                near = materialize(near.join(bitmaps(rest.join(near.select("id").distinct(), "id", "left_semi"), shingle=shingle), "id"), "linkable")
+                other = near.select("element", F.col("id").alias("b"), F.col("label").alias("other"), F.col("excess").alias("more"), F.col("bits").alias("other_bits"), F.col("weight").alias("other_weight"))
+                # the same bound as that of the prefixes, by all elements
+                least = 1 / _shared("bits", "other_bits", "weight") + 1 / _shared("other_bits", "bits", "other_weight") - 1
+                possible = (F.col("label") < F.col("other")) & (F.col("excess") + F.col("more") <= slack + 1e-9) & (least <= 1 + slack + 1e-9)
+                pairs = near.join(other, "element").where(possible).select(F.col("id").alias("a"), "b")
+            else:
+                pairs = near.where(F.col("label") != F.col(f"{turn}.label")).where(F.col("excess") + F.col(f"{turn}.excess") <= slack + 1e-9).select(F.col(f"{turn}.id").alias("a"), F.col("id").alias("b"))
+            if not ask(pairs) and turn == "all":
+                break
 
     classes = nodes.join(labels, "node", "left").select("digest", "node", F.coalesce("label", "node").alias("class_id"))
     named = digests.join(classes, "digest").select("id", "node", "class_id")
