@@ -150,6 +150,28 @@ def test_langid_edges(spark, odd, empty):
     assert langid.classify(empty, model).count() == 0
 
 
+def test_langid_learns_from_whole_texts(spark):
+    name = lambda i: "qz" + chr(97 + i % 26) + chr(97 + i // 26) + "qz"
+    header = "same header of all texts " * 200
+    docs = spark.createDataFrame([(i, header + " ".join(f"{name(i)} {hashlib.md5(b'%d %d' % (i, k)).hexdigest()}" for k in range(1000)), "aa") for i in range(40)], "doc_id long, text string, lang string")
+    sampled = docs.select(F.pmod(F.shiftright(F.xxhash64(F.col("doc_id").cast("string")), 7), F.lit(8))).distinct().count()
+    data = langid.fit(docs, per_language=8, dictionary_bytes=8192)["aa"]
+    # each sampled text's own words are there, though 5,000 characters of header come before them
+    assert len(data) <= 8192 and sum(name(i).encode() in data for i in range(40)) == sampled > 4
+
+
+def test_langid_shares():
+    assert langid.equal_share([10, 500, 900], 400) == 195 and langid.equal_share([10, 20], 400) == 20
+    data = bytes(np.random.default_rng(1).integers(97, 123, 100_000, dtype=np.uint8))
+    part = langid.excerpt(data, 1024, 7)
+    assert len(part) == 1024 and part == langid.excerpt(data, 1024, 7) != langid.excerpt(data, 1024, 8)
+    assert len(langid.excerpt(data, 1000, 7)) == 1000
+    assert langid.excerpt(data, 100_000, 7) == data and langid.excerpt(data[:90], 1000, 7) == data[:90]
+    # blocks come from all over the text
+    at = [data.find(part[i : i + langid.EXCERPT]) for i in range(0, 1024, langid.EXCERPT)]
+    assert at == sorted(at) and at[0] >= 0 and at[-1] > 50_000
+
+
 def test_langid_margin():
     one = langid.Classifier({"a": b"the cat sat on the mat", "b": b"der hund und die katze"}, 9, 2048)
     assert one("the cat sat on the mat")[0] == "a" and one("der hund und die katze")[0] == "b"

@@ -9,7 +9,13 @@ more bytes, or when it has no letter.
 
 ``fit`` reads ids and labels first: of each language it keeps, for each of
 ``per_language`` hash buckets, the row whose id hashes lowest, so the sample is
-spread over the corpus and bounded by ``per_language`` texts a language.
+spread over the corpus and bounded by ``per_language`` texts a language. Each
+sampled text is read whole and measured in bytes of its letters. If all of them
+exceed ``dictionary_bytes``, each gives an equal share, and what shorter texts
+leave of theirs goes to the longer ones; a longer text gives distinct blocks of
+``EXCERPT`` bytes, chosen by a hash over the whole text and kept in their order.
+So every sampled text is in its dictionary, and the driver gets at most
+``dictionary_bytes`` a language.
 
 Defined results: null texts and texts without a letter get ``und``, score 0, and
 are rejected; equal sizes go to the language with more labelled rows, then to
@@ -22,15 +28,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Most languages a model may have; more is an error, as the driver holds a dictionary for each.
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
+#: Bytes of the blocks that a long text gives to a dictionary.
+EXCERPT = 128
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -39,14 +51,52 @@ def letters(text: str) -> bytes:
     return _NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
+def equal_share(sizes: list[int], total: int) -> int:
+    """The largest share whose sum of min(size, share) is within ``total``."""
+    left = total
+    for k, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if size > share:
+            return share
+        left -= size
+    return max(sizes, default=0)
+
+
+def excerpt(data: bytes, share: int, seed: int) -> bytes:
+    """``data``, or ``share`` bytes at most of its distinct blocks, picked by hash and in their order."""
+    if len(data) <= share:
+        return data
+    first: dict[bytes, int] = {}
+    for i in range(0, len(data), EXCERPT):
+        first.setdefault(data[i : i + EXCERPT], i)
+    key = seed.to_bytes(8, "little", signed=True)
+    # one more than fill the share, as the last block of the text may be short
+    picked = nsmallest(-(-share // EXCERPT) + 1, first, key=lambda x: blake2b(x, digest_size=8, key=key).digest())
+    out, left = [], share
+    for x in picked:
+        out.append((first[x], x[:left]))
+        left -= len(out[-1][1])
+    return b"".join(x for _, x in sorted(out))
+
+
 def fit(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 64, dictionary_bytes: int = 1 << 16) -> dict[str, bytes]:
     """{language: dictionary}, most frequent language first.
 
     ``usable`` restricts the rows that may be learned from. Every sampled text
-    gives an equal share of its language's dictionary.
+    gives an equal share of its language's dictionary, or all it has.
     """
+    if dictionary_bytes < 2 * per_language:
+        raise ValueError("dictionary_bytes must hold a byte and a separator of each sampled text")
+
+    @F.pandas_udf("binary")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(letters)
+
+    @F.pandas_udf("binary")
+    def pick(data: pd.Series, share: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([excerpt(x, int(n), int(k)) for x, n, k in zip(data, share, h)], dtype=object)
+
     rows = docs if usable is None else docs.where(usable)
-    share = 2 * dictionary_bytes // per_language
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
     bucket = F.pmod(F.shiftright("h", 7), F.lit(per_language))
@@ -58,15 +108,16 @@ def fit(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_id"
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     keys = docs.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in picked], "lang string, h long")
-    sample = rows.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, share)).alias("text"))
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in sample.collect():
-        texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    out = {}
-    for lang in sorted(texts, key=lambda x: (-totals[x], x)):
-        parts = [letters(x) for _, x in sorted(texts[lang])]
-        out[lang] = b"\n".join(parts)[-dictionary_bytes:]
-    return out
+    sample = rows.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = materialize(sample.select("lang", "h", read("text").alias("data")), "langid-sample")
+    sizes: dict[str, list[int]] = {}
+    for r in sample.select("lang", F.length("data").alias("n")).collect():
+        sizes.setdefault(r["lang"], []).append(r["n"])
+    shares = docs.sparkSession.createDataFrame([(x, equal_share(n, dictionary_bytes - len(n) + 1)) for x, n in sizes.items()], "lang string, share long")
+    parts: dict[str, list[tuple[int, bytes]]] = {}
+    for r in sample.join(F.broadcast(shares), "lang").select("lang", "h", pick("data", "share", "h").alias("part")).collect():
+        parts.setdefault(r["lang"], []).append((r["h"], bytes(r["part"])))
+    return {lang: b"\n".join(x for _, x in sorted(parts[lang])) for lang in sorted(parts, key=lambda x: (-totals[x], x))}
 
 
 class Classifier:
