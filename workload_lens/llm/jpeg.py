@@ -292,10 +292,13 @@ def thumbnail(image: Image, coefficients: list[np.ndarray]) -> np.ndarray:
 
 
 def thumbnail_hash(thumb: np.ndarray, side: int = 8) -> str:
-    """Average hash of the thumbnail, resampled to ``side`` x ``side``, as hex."""
+    """Average hash of the thumbnail, averaged over ``side`` x ``side`` cells, as hex."""
     rows = np.arange(side) * thumb.shape[0] // side
     cols = np.arange(side) * thumb.shape[1] // side
-    small = thumb[rows][:, cols].astype(np.int64)
+    # a thumbnail of fewer pixels repeats them: reduceat takes one where a cell begins no later than the next
+    high, wide = (np.add.reduceat(np.ones(n, np.int64), at) for n, at in zip(thumb.shape, (rows, cols)))
+    sums = np.add.reduceat(np.add.reduceat(thumb.astype(np.int64), rows, axis=0), cols, axis=1)
+    small = sums * (np.lcm.reduce(high) // high)[:, None] * (np.lcm.reduce(wide) // wide)  # means, as whole numbers
     bits = (small * small.size > small.sum()).ravel()
     return np.packbits(bits).tobytes().hex()
 

@@ -1,7 +1,8 @@
 """Token archives compressed with Re-Pair grammars.
 
 Every block of an archive is one grammar: frequent pairs of ids are replaced by
-nonterminals, round after round, until no pair is frequent. A block stores its
+nonterminals, round after round, until no pair is frequent or the block has
+``max_rules`` rules. A block stores its
 rules, the expansion length of each rule and, per document, its symbols; a slice
 of a document is decoded from the symbols that cover it alone.
 
@@ -76,7 +77,7 @@ def _pairs(seq: np.ndarray, last: np.ndarray, narrow: bool, min_count: int, most
     return chosen
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, min_count: int = 12, max_rules: int = 15_000, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, min_count: int = 12, max_rules: int = 15_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, symbols, end of each document in the symbols) of ids below ``base``.
 
     Nonterminal ``base + i`` stands for the pair ``rules[i]``.
@@ -86,9 +87,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, *, min_count: int = 1
     last[ends - 1] = True
     rules: list[tuple[int, int]] = []
     narrow = base + max_rules <= 1 << 16
-    for _ in range(rounds):
-        if len(seq) < 2 or len(rules) >= max_rules:
-            break
+    while len(seq) >= 2 and len(rules) < max_rules:
         chosen = _pairs(seq, last, narrow, min_count, min(2048, max_rules - len(rules)))
         if not chosen:
             break

@@ -179,7 +179,8 @@ _STUB = """'-- name: ' || slug || chr(10) || '-- Generated from workload_lens cl
 ) SELECT rank::INT AS rank, slug, 'sql/' || slug || '.sql' AS path, {_STUB} AS content FROM slugs"""
 )
 def stub_files(spark, sf_dir):
-    return stubs.stubs(_positioned(_clusters(spark, sf_dir), 50), top=10, min_calls=10)
+    found = _clusters(spark, sf_dir).where("fingerprint <> '' and total_calls > 10")
+    return stubs.stubs(_positioned(found, 10), top=10, min_calls=10)
 
 
 @query("WITH s AS (SELECT o_orderkey AS k FROM orders) SELECT k, CASE WHEN k % 120 < 100 THEN lpad((k % 120)::VARCHAR, 2, '0') ELSE (k % 120)::VARCHAR END AS r, 'q' || CASE WHEN k % 120 < 100 THEN lpad((k % 120)::VARCHAR, 2, '0') ELSE (k % 120)::VARCHAR END || '-' || substr(md5(k::VARCHAR), 1, 8) AS slug FROM s")
