@@ -81,16 +81,17 @@ def _matches(condition: Column) -> Column:
 
 
 def findings(plans: DataFrame) -> DataFrame:
-    """Every comparison of a parameter: fingerprint, at (its order), position, schema, table, column, confidence.
+    """Every comparison of a parameter: fingerprint, error, at (its order), position, schema, table, column, confidence.
 
-    ``plans``: fingerprint and ``nodes`` (see ``listed``).
+    ``plans``: fingerprint, ``nodes`` and ``error`` (see ``listed``). A plan without
+    a comparison gives a row without position, so that one pass serves both.
     """
-    nodes = plans.select("fingerprint", F.posexplode("nodes").alias("node", "n"))
+    nodes = plans.select("fingerprint", "error", F.posexplode_outer("nodes").alias("node", "n"))
     relation, alias = F.col("n.relation"), F.col("n.alias")
     table = F.when(relation != "", relation).otherwise(alias)
-    conditions = nodes.select("fingerprint", "node", F.col("n.schema").alias("schema"), relation.alias("relation"), alias.alias("alias"), table.alias("table"), F.posexplode("n.conditions").alias("slot", "condition"))
-    conditions = conditions.where(F.col("condition") != "")
-    found = conditions.select("*", F.posexplode(_matches(F.col("condition"))).alias("match", "m"))
+    given = F.filter(F.transform("n.conditions", lambda c, i: F.struct(i.alias("slot"), c.alias("condition"))), lambda x: x["condition"] != "")
+    conditions = nodes.select("fingerprint", "error", "node", F.col("n.schema").alias("schema"), relation.alias("relation"), alias.alias("alias"), table.alias("table"), F.explode_outer(given).alias("c"))
+    found = conditions.select("*", F.posexplode_outer(_matches(F.col("c.condition"))).alias("match", "m"))
     qualifier = F.col("m.qualifier")
     # A qualifier is known if it is the relation or its alias; an empty one never is.
     known = (qualifier != "") & ((qualifier == F.col("relation")) | (qualifier == F.col("alias")))
@@ -98,13 +99,14 @@ def findings(plans: DataFrame) -> DataFrame:
     confidence = F.when(known | (there & (qualifier == "")), "exact").when(there, "heuristic").otherwise("none")
     return found.select(
         "fingerprint",
-        F.struct("node", "slot", "match").alias("at"),
+        "error",
+        F.struct("node", "c.slot", "match").alias("at"),
         F.col("m.position").try_cast("int").alias("position"),
         F.when(known | there, F.col("schema")).otherwise("").alias("schema"),
         F.when(known | there, F.col("table")).otherwise("").alias("table"),
         F.col("m.column").alias("column"),
         confidence.alias("confidence"),
-    ).where("position is not null")
+    )
 
 
 def listed(plans: DataFrame) -> DataFrame:
@@ -114,14 +116,19 @@ def listed(plans: DataFrame) -> DataFrame:
     return out.select("fingerprint", F.when(given.isNull(), F.col("__p.nodes")).otherwise(F.array().cast(NODES)).alias("nodes"), F.coalesce(given, F.col("__p.error")).alias("error"))
 
 
-def parameters(plans: DataFrame) -> DataFrame:
-    """One row a parameter: the first exact finding, or else the last one."""
+def _reduced(plans: DataFrame) -> DataFrame:
+    """fingerprint, position, param, error, ok; a row without position tells of the other plans."""
     record = F.struct(F.col("position"), "schema", "table", "column", "confidence", F.lit("").alias("note"))
-    rows = findings(listed(plans)).select("fingerprint", "position", "at", "confidence", record.alias("param"))
+    rows = findings(listed(plans)).select("fingerprint", "error", "position", "at", "confidence", F.when(F.col("position").isNotNull(), record).alias("param"))
     exact = F.col("confidence") == "exact"
     first = F.min_by(F.when(exact, F.col("param")), F.when(exact, F.col("at")))
     last = F.max_by(F.when(~exact, F.col("param")), F.when(~exact, F.col("at")))
-    return rows.groupBy("fingerprint", "position").agg(F.coalesce(first, last).alias("param"))
+    return rows.groupBy("fingerprint", "position").agg(F.coalesce(first, last).alias("param"), F.max("error").alias("error"), F.bool_or(F.col("error").isNull()).alias("ok"))
+
+
+def parameters(plans: DataFrame) -> DataFrame:
+    """One row a parameter: the first exact finding, or else the last one."""
+    return _reduced(plans).where("position is not null").select("fingerprint", "position", "param")
 
 
 def attribute(clusters: DataFrame, plans: DataFrame, *, top: int = 0) -> DataFrame:
@@ -130,22 +137,23 @@ def attribute(clusters: DataFrame, plans: DataFrame, *, top: int = 0) -> DataFra
     ``outcome``: attributed, skipped (nothing found, params stay), failed (params
     become one note), or null (not looked at: beyond the first ``top`` clusters by
     ``pos``, without fingerprint or canonical text). ``top`` 0 looks at all.
-    A cluster without a plan row failed.
+    A cluster without a plan row failed, and one all of whose plan rows did.
     """
     look = (F.col("fingerprint") != "") & (F.col("canonical") != "")
     if top > 0:
         look = look & (F.col("pos") < top)
-    errors = listed(plans).select(F.col("fingerprint").alias("__f"), "error")
-    found = parameters(plans).groupBy(F.col("fingerprint").alias("__g")).agg(F.array_sort(F.collect_list("param")).cast(f"array<{PARAM.simpleString()}>").alias("__params"))
+    found = _reduced(plans).groupBy(F.col("fingerprint").alias("__f")).agg(
+        F.array_sort(F.collect_list("param")).cast(f"array<{PARAM.simpleString()}>").alias("__params"), F.when(~F.bool_or("ok"), F.max("error")).alias("__error")
+    )
     rows = clusters if "params" in clusters.columns else clusters.withColumn("params", F.array().cast(f"array<{PARAM.simpleString()}>"))
     rows = rows.withColumn("__look", look)
-    rows = rows.join(errors, rows["fingerprint"] == errors["__f"], "left").join(found, rows["fingerprint"] == found["__g"], "left")
-    note = F.coalesce(F.col("error"), F.when(F.col("__f").isNull(), F.lit("EXPLAIN returned no rows")))
-    outcome = F.when(F.col("__look"), F.when(note.isNotNull(), "failed").when(F.col("__params").isNotNull(), "attributed").otherwise("skipped"))
+    rows = rows.join(found, rows["fingerprint"] == found["__f"], "left")
+    note = F.coalesce(F.col("__error"), F.when(F.col("__f").isNull(), F.lit("EXPLAIN returned no rows")))
+    outcome = F.when(F.col("__look"), F.when(note.isNotNull(), "failed").when(F.size("__params") > 0, "attributed").otherwise("skipped"))
     rows = rows.withColumn("outcome", outcome).withColumn("__note", note)
     failure = F.array(F.struct(F.lit(0).alias("position"), *(F.lit("").alias(k) for k in ("schema", "table", "column")), F.lit("none").alias("confidence"), F.col("__note").alias("note"))).cast(f"array<{PARAM.simpleString()}>")
     params = F.when(F.col("outcome") == "attributed", F.col("__params")).when(F.col("outcome") == "failed", failure).otherwise(F.col("params"))
-    return rows.withColumn("params", params).drop("__look", "__f", "__g", "__params", "__note", "error")
+    return rows.withColumn("params", params).drop("__look", "__f", "__params", "__note", "__error")
 
 
 def explain_scripts(clusters: DataFrame, functions: dict[tuple[str, str, int], list[str] | None]) -> DataFrame:

@@ -36,8 +36,8 @@ def clusters(rows: DataFrame, *, members: bool = False) -> DataFrame:
     mean is total over calls, 0 without calls. ``members`` adds the statements of
     each cluster in their order.
     """
-    # Unreadable rows get a key each, and so spread over all tasks.
-    keyed = rows.withColumn("__own", F.when(~F.col("parse_ok"), F.col("ord")))
+    # Unreadable rows get a key each, whatever their values, and so spread over all tasks.
+    keyed = rows.withColumn("__own", F.when(~F.col("parse_ok"), F.monotonically_increasing_id()))
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
     aggs = [
         F.min_by("canonical", "ord").alias("canonical"),
@@ -69,7 +69,7 @@ def ranked(found: DataFrame, *, limit: int = 0) -> DataFrame:
     needs no pass of its own. ``limit`` > 0 takes the first ones by a top-k.
     """
     time = F.greatest(F.col("total_exec_time_ms"), F.lit(0.0))
-    out = found.orderBy(time.desc(), F.col("total_calls").desc(), F.col("fingerprint").asc(), F.col("first_ord").asc())
+    out = found.orderBy(time.desc(), F.col("total_calls").desc(), F.col("fingerprint").asc(), F.col("first_ord").asc(), F.col("canonical").asc())
     return out.limit(limit) if limit > 0 else out
 
 

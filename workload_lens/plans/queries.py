@@ -26,7 +26,7 @@ WITH statements AS ({workload.statements_sql()}), captured AS (
     sum(total_exec_time) AS total_exec_time_ms, sum(rows)::BIGINT AS rows, count(*) AS n_members,
     CASE WHEN fingerprint = '' THEN max(mean_exec_time) WHEN sum(calls) > 0 THEN sum(total_exec_time) / sum(calls) ELSE 0 END AS mean_exec_time_ms,
     max(total_exec_time) AS first_time, first(queryid ORDER BY total_exec_time DESC, queryid) AS first_id
-  FROM captured GROUP BY fingerprint, CASE WHEN fingerprint = '' THEN queryid END
+  FROM captured GROUP BY fingerprint, CASE WHEN fingerprint = '' THEN row_key END
 ), ranked AS (
   SELECT *, row_number() OVER (ORDER BY total_exec_time_ms DESC, total_calls DESC, fingerprint, first_time DESC, first_id) - 1 AS pos FROM clusters
 )
@@ -74,9 +74,9 @@ def capture_skip_meta(spark, sf_dir):
     return _captured(spark, sf_dir).drop("ord")
 
 
-@query(f"{_WITH} SELECT {_CAPTURED} FROM captured JOIN nation ON n_nationkey = dbid WHERE n_name = 'FRANCE'")
+@query(f"{_WITH} SELECT {_CAPTURED} FROM captured JOIN nation ON n_nationkey = dbid WHERE n_name = 'NATION_7'")
 def capture_database_join(spark, sf_dir):
-    return _captured(spark, sf_dir, database="FRANCE").drop("ord")
+    return _captured(spark, sf_dir, database="NATION_7").drop("ord")
 
 
 @query(f"{_WITH} SELECT {_CAPTURED} FROM captured ORDER BY total_exec_time DESC, queryid LIMIT 100")
@@ -136,7 +136,7 @@ def cluster_top(spark, sf_dir):
 
 
 @query(
-    f"""{_WITH} SELECT fingerprint, queryid, query AS raw, calls,
+    f"""{_WITH} SELECT fingerprint, coalesce(queryid, 0) AS queryid, query AS raw, calls,
   CASE WHEN fingerprint = '' THEN 0 ELSE row_number() OVER (PARTITION BY fingerprint ORDER BY total_exec_time DESC, queryid) - 1 END::INT AS place FROM captured"""
 )
 def cluster_members(spark, sf_dir):
@@ -173,7 +173,7 @@ _STUB = """'-- name: ' || slug || chr(10) || '-- Generated from workload_lens cl
 
 @query(
     f"""{_WITH}, first_ones AS (
-  SELECT *, row_number() OVER (ORDER BY pos) AS rank FROM ranked WHERE pos < 50 AND fingerprint <> '' AND total_calls > 10 ORDER BY pos LIMIT 10
+  SELECT *, row_number() OVER (ORDER BY pos) AS rank FROM ranked WHERE fingerprint <> '' AND total_calls > 10 ORDER BY pos LIMIT 10
 ), slugs AS (
   SELECT *, 'q' || lpad(rank::VARCHAR, 2, '0') || '-' || substr(fingerprint, 6, 8) AS slug FROM first_ones
 ) SELECT rank::INT AS rank, slug, 'sql/' || slug || '.sql' AS path, {_STUB} AS content FROM slugs"""
@@ -275,6 +275,35 @@ def attribute_all_clusters(spark, sf_dir):
     return _attributed(spark, sf_dir, top=0)
 
 
+@query(
+    f"""WITH found AS ({workload.parameters_sql()}), per AS (
+  SELECT fingerprint, string_agg(position::VARCHAR || ' ' || "table" || '.' || "column", ', ' ORDER BY position) AS params FROM found GROUP BY fingerprint
+), looked AS (
+  SELECT o_orderkey, o_orderkey % 5 > 1 AS look, CASE WHEN o_orderkey % 11 <> 0 THEN params END AS params FROM orders LEFT JOIN per ON per.fingerprint = 'sha1:' || o_orderkey::VARCHAR
+)
+SELECT o_orderkey AS pos, CASE WHEN look THEN CASE WHEN o_orderkey % 11 = 0 THEN 'failed' WHEN params IS NOT NULL THEN 'attributed' ELSE 'skipped' END END AS outcome,
+  CASE WHEN NOT look THEN '' WHEN o_orderkey % 11 = 0 THEN '0 .' ELSE coalesce(params, '') END AS params FROM looked"""
+)
+def attribute_listing(spark, sf_dir):
+    """Clusters without fingerprint or text are left alone; parameters come by position."""
+    key = F.col("o_orderkey").cast("long")
+    rows = workload.table(spark, sf_dir, "orders").select(
+        key.alias("pos"),
+        F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("sha1:"), key.cast("string"))).alias("fingerprint"),
+        F.when(key % 5 == 1, "").otherwise("SELECT 1").alias("canonical"),
+    )
+    said = F.transform("params", lambda p: F.concat(p["position"].cast("string"), F.lit(" "), p["table"], F.lit("."), p["column"]))
+    return attribute.attribute(rows, workload.plans(spark, sf_dir)).select("pos", "outcome", F.array_join(said, ", ").alias("params"))
+
+
+@query(f"SELECT o_orderkey AS k, {workload.case_sql(f'o_orderkey % {len(workload.CASTS)}', [b for _, b in workload.CASTS])} AS sql FROM orders")
+def cast_rules(spark, sf_dir):
+    """Each rule for bare parameters, without a catalog."""
+    key = F.col("o_orderkey")
+    rows = workload.table(spark, sf_dir, "orders").select(key.cast("string").alias("fingerprint"), workload.case(key % len(workload.CASTS), [a for a, _ in workload.CASTS], {}).alias("canonical"))
+    return attribute.explain_scripts(rows, {}).select(F.col("fingerprint").cast("long").alias("k"), "sql")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture, canonical form, clusters, ranking."""
     return QUERIES["cluster_ranked"](spark, sf_dir)
