@@ -2,31 +2,45 @@
 
 Intermediate results that are read more than once go to Parquet tables below
 ``spark.checkpoint.dir`` (the folder all executors share); lost executors then
-cost a re-read, never a recomputation of the whole lineage.
+cost a re-read, never a recomputation of the whole lineage. Results may read such
+tables, so they stay until ``clean`` is called, or the folder's owner removes the
+application's folder.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one is set only when the session names none."""
+    """The shared folder. Without one, a local session gets a temporary folder; a cluster is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = LOCAL_CHECKPOINTS
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="workload_lens-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/workload_lens/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/workload_lens/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them fail."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +51,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Arrow batches of about ``limit`` bytes at most, unless the session has a smaller bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > limit:
+        spark.conf.set(key, str(limit))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``__name``, with underscores added until no column of ``df`` begins so."""
+    taken = [c.lower() for c in df.columns]
+    out = f"__{name}"
+    while any(c.startswith(out.lower()) for c in taken):
+        out += "_"
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -72,38 +103,67 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 buffers."""
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 buffers.
+
+    Buffers are hashed in segments of about ``segment`` bytes, cut after white space,
+    so what a long text needs besides its word hashes is bounded. Only a longer word
+    makes a longer segment.
+    """
 
-    def __init__(self) -> None:
-        self._n = 0
-        self._pow = self._inv = np.zeros(0, dtype=np.uint64)
+    def __init__(self, segment: int = 1 << 18) -> None:
+        self.segment = segment
+        self._pow, self._inv = _powers(_BASE, segment + 1), _powers(_INV, segment + 1)
 
     def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word hashes, words before each text's end) of texts laid end to end.
 
         ``data`` holds the bytes of all texts, ``ends`` where each text ends.
         """
+        hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        i, n = 0, len(data)
+        while i < n:
+            j = self._cut(data, i)
+            inner = ends[np.searchsorted(ends, i, side="right") : np.searchsorted(ends, j)] - i
+            h, at = self._segment(data[i:j], inner)
+            hashes.append(h)
+            starts.append(at + i)
+            i = j
+        return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends)
+
+    def _cut(self, data: np.ndarray, i: int) -> int:
+        """The end of the segment that starts at ``i``."""
+        j = i + self.segment
+        if j >= len(data):
+            return len(data)
+        space = np.flatnonzero(_SPACE[data[i:j]])
+        if len(space):
+            return i + int(space[-1]) + 1
+        while j < len(data):
+            space = np.flatnonzero(_SPACE[data[j : j + self.segment]])
+            if len(space):
+                return j + int(space[0]) + 1
+            j += self.segment
+        return len(data)
+
+    def _segment(self, data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word hashes, where they start); texts also end at ``inner``, and end words there."""
         n = len(data)
-        if n > self._n:
-            self._n = max(n, 1 << 16)
-            self._pow, self._inv = _powers(_BASE, self._n + 1), _powers(_INV, self._n + 1)
+        power, inverse = (self._pow, self._inv) if n < len(self._pow) else (_powers(_BASE, n + 1), _powers(_INV, n + 1))
         word = ~_SPACE[data]
         first = word.copy()
         first[1:] &= ~word[:-1]
         last = word.copy()
         last[:-1] &= ~word[1:]
-        inner = ends[:-1]
-        inner = inner[(inner > 0) & (inner < n)]  # texts end words too
         first[inner] = word[inner]
         last[inner - 1] = word[inner - 1]
         starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._pow[:n], dtype=np.uint64, out=sums[1:])
-        h = (sums[stops] - sums[starts]) * self._inv[starts]
-        return mix64(h ^ (stops - starts).astype(np.uint64)), np.searchsorted(starts, ends)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64, out=sums[1:])
+        h = (sums[stops] - sums[starts]) * inverse[starts]
+        return mix64(h ^ (stops - starts).astype(np.uint64)), starts
 
 
-def text_batches(batches, text: str, limit: int = 4 << 20):
+def text_batches(batches, text: str, limit: int = 1 << 20):
     """Slices of record batches whose texts hold about ``limit`` bytes at most.
 
     A single longer text is a slice of its own, whole.
@@ -126,5 +186,14 @@ def text_batches(batches, text: str, limit: int = 4 << 20):
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, end of each text) of an Arrow string column; null counts as empty."""
-    texts = [x.encode("utf-8", "surrogatepass") if x else b"" for x in column.to_pylist()]
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(x) for x in texts], dtype=np.int64)
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column), np.int64)
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at[1:] - at[0]

@@ -20,30 +20,33 @@ So every sampled text is in its dictionary, and the driver gets at most
 Defined results: null texts and texts without a letter get ``und``, score 0, and
 are rejected; equal sizes go to the language with more labelled rows, then to
 the first by name; repeated rows get equal results; without a labelled row all
-texts are ``und``. Documents keep all their columns; the added ones are
-``lang_pred``, ``score``, ``margin`` and ``lang_rejected``.
+texts are ``und``; an empty table gives no dictionary and stays empty; a long text
+is read whole. Letters are those of Unicode's category L. Documents keep all their
+columns; the added ones are ``ADDED``, and an input column with such a name is
+replaced unless ``prefix`` sets their names apart.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from hashlib import blake2b
 from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spare
 
 #: Most languages a model may have; more is an error, as the driver holds a dictionary for each.
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
+ADDED = ("lang_pred", "score", "margin", "lang_rejected")
 #: Bytes of the blocks that a long text gives to a dictionary.
 EXCERPT = 128
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_NO_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str) -> bytes:
@@ -153,8 +156,8 @@ class Classifier:
         return self.languages[best], score, excess / float(sizes[best])
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str = "text", level: int = 9, block: int = 2048, min_margin: float = 0.002) -> DataFrame:
-    """``docs`` with lang_pred, score, margin and lang_rejected.
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str = "text", level: int = 9, block: int = 2048, min_margin: float = 0.002, prefix: str = "") -> DataFrame:
+    """``docs`` with the columns ``ADDED``, named with ``prefix``.
 
     ``lang_rejected``: no language, or a margin below ``min_margin``.
     """
@@ -166,7 +169,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
             rows = [one(x if isinstance(x, str) else None) for x in batch]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "margin"])
 
-    out = docs.withColumn("__lang", predict(F.col(text_col).cast("string")))
-    found = {k: F.col("__lang")[k] for k in ("lang_pred", "score", "margin")}
-    rejected = (found["lang_pred"] == UNKNOWN) | (found["margin"] < min_margin)
-    return out.withColumns(found | {"lang_rejected": rejected}).drop("__lang")
+    held = spare(docs, "lang")
+    out = docs.withColumn(held, predict(F.col(text_col).cast("string")))
+    found = {k: F.col(held)[k] for k in ADDED[:3]}
+    found["lang_rejected"] = (found["lang_pred"] == UNKNOWN) | (found["margin"] < min_margin)
+    return out.withColumns({prefix + k: v for k, v in found.items()}).drop(held)

@@ -12,8 +12,9 @@ join keys, so a source with a third of all rows is no task's burden.
 Defined results: a null source is a source of its own; a null text weighs
 nothing and is repeated at its source's rate; rows with equal ids share their
 count; a source without weight in ``targets`` disappears; an empty table stays
-empty. Documents keep their columns; the added ones are ``copy`` (from 0),
-``n_copies`` and ``shuffle_key``.
+empty; a long text only counts with its length. Documents keep their columns; the
+added ones are ``copy`` (from 0), ``n_copies`` and ``shuffle_key``, and an input
+column with such a name is replaced unless ``prefix`` sets their names apart.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 _BITS = 52
 
 
@@ -67,7 +70,7 @@ def poisson_cdf(rate: Column, most: int) -> Column:
     return F.when(start["term"] > 0, terms)
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", targets: dict[str, float] | None = None, exponent: float = 0.5, total: float = 1.0, max_rate: float = 64.0, seed: int = 5, broadcast_sources: int = 10_000, salts: int = 64) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", targets: dict[str, float] | None = None, exponent: float = 0.5, total: float = 1.0, max_rate: float = 64.0, seed: int = 5, broadcast_sources: int = 10_000, salts: int = 64, prefix: str = "") -> DataFrame:
     """Documents repeated to the target mix, in a global random order.
 
     The whole part of a rate above ``max_rate`` is repeated outright and the rest
@@ -80,18 +83,22 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     top, sources = largest[0] or 0.0, largest[1]
     most = math.ceil(top + 10 * math.sqrt(top) + 12)
     table = table.select("__key", "__sure", poisson_cdf(F.col("rate") - F.col("__sure"), most).alias("__cdf"))
-    keyed = docs.withColumns({"__key": F.struct(F.col(source_col).cast("string").alias("s")), "__id": _text_of(id_col)})
+    own = spare(docs, "mix")  # internal columns are its fields, apart from all others
+    named = lambda x: f"{own}{x}"
+    table = table.select(F.col("__key").alias(named("key")), F.col("__sure").alias(named("sure")), F.col("__cdf").alias(named("cdf")))
+    keyed = docs.withColumns({named("key"): F.struct(F.col(source_col).cast("string").alias("s")), named("id"): _text_of(id_col)})
     if sources <= broadcast_sources:
-        joined = keyed.join(F.broadcast(table), "__key")
+        joined = keyed.join(F.broadcast(table), named("key"))
     else:
-        spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = keyed.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")).join(spread, ["__key", "__salt"]).drop("__salt")
-    u = (_hash52(F.lit(f"count{seed}"), F.col("__id")).cast("double") + 0.5) / float(1 << _BITS)
-    drawn = F.size(F.filter("__cdf", lambda c: c < F.col("__u"))).cast("long")
-    counted = joined.withColumn("__u", u).withColumn("n_copies", F.col("__sure") + drawn).drop("__u", "__cdf", "__sure", "__key")
-    copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("shuffle_key", _hash52(F.lit(f"place{seed}"), F.col("__id"), F.col("copy"))).drop("__id")
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        spread = table.withColumn(named("salt"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = keyed.withColumn(named("salt"), F.pmod(F.xxhash64(named("id")), F.lit(salts)).cast("int")).join(spread, [named("key"), named("salt")]).drop(named("salt"))
+    u = (_hash52(F.lit(f"count{seed}"), F.col(named("id"))).cast("double") + 0.5) / float(1 << _BITS)
+    drawn = F.size(F.filter(named("cdf"), lambda c: c < F.col(named("u")))).cast("long")
+    n, copy, place = (prefix + x for x in ("n_copies", "copy", "shuffle_key"))
+    counted = joined.withColumn(named("u"), u).withColumn(n, F.col(named("sure")) + drawn).drop(*map(named, ("u", "cdf", "sure", "key")))
+    copies = counted.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    keyed = copies.withColumn(place, _hash52(F.lit(f"place{seed}"), F.col(named("id")), F.col(copy))).drop(named("id"))
+    return keyed.repartition(place).sortWithinPartitions(place)
 
 
 def oracle(exponent: float = 0.5, total: float = 1.0, seed: int = 5) -> str:

@@ -2,9 +2,11 @@
 
 Two generative models over hashed word unigrams and bigrams, one of the target
 (documents labelled good) and one of all raw text, give each document the log
-importance weight ``sum(count * (log p_target - log p_raw))`` over its n-grams,
-scaled down to ``full_ngrams`` n-grams where a text has more: a long text is then
-ranked by how it is written, not by its length.
+importance ratio ``sum(count * (log p_target - log p_raw))`` over its n-grams
+(``log_ratio``). A sum over independent n-grams overstates what a long text shows,
+so a text of more than ``full_ngrams`` n-grams is weighed by its ratio to the power
+``full_ngrams / n`` (``log_weight``): it is ranked by how it is written, not by its
+length. ``full_ngrams=None`` weighs by the plain ratio.
 Documents are sampled without replacement in proportion to their weights by
 Gumbel top-k: ``log weight + Gumbel noise`` is the key and the ``k`` largest
 keys stay. The noise is a hash of the document id, so a rerun samples alike.
@@ -19,8 +21,13 @@ ranges; no task or driver sees all keys.
 
 Defined results: null and empty texts have no n-gram and weight 1 (log 0);
 repeated rows and null ids share their noise; documents tied with the k-th key
-all stay; without a target every weight is 1; an empty table stays empty.
-Documents keep all their columns.
+all stay; without a target every weight is 1; an empty table stays empty; a long
+text is weighed whole, in segments. Documents keep all their columns; the added
+ones are ``ADDED``, and an input column with such a name is replaced unless
+``prefix`` sets their names apart.
+
+The weights are computed twice, once for the k-th key and once for the result:
+writing all texts again would cost more than reading them again.
 """
 
 from __future__ import annotations
@@ -28,13 +35,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, buffers, hash_unit, materialize, mix64, text_batches
+from .common import WordHasher, buffers, hash_unit, materialize, mix64, spare, text_batches
 
 BUCKETS = 10_000
+ADDED = ("log_weight", "log_ratio", "n_ngrams", "gumbel_key", "kept")
 
 
 def ngram_buckets(hashes: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +56,6 @@ def ngram_buckets(hashes: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[n
 
 def lowered(column):
     """Lower-cased texts; the columns are Arrow strings."""
-    import pyarrow as pa
-
     return pa.array([x.lower() if x else None for x in column.to_pylist()], pa.string())
 
 
@@ -63,8 +69,6 @@ def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(target), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def count(batches):
-        import pyarrow as pa
-
         hasher, raw, hit = WordHasher(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in text_batches(batches, "text"):
             hashes, ends = hasher(*buffers(lowered(batch.column(0))))
@@ -88,31 +92,26 @@ def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: s
     return np.log(p_target) - np.log(p_raw)
 
 
-def log_weight(ratio: np.ndarray, text: Column, full_ngrams: int = 64) -> Column:
-    """Struct of the log importance weight and the number of n-grams of a text."""
-    buckets = len(ratio)
+def log_weight(ratio: np.ndarray, text: Column, full_ngrams: int | None = 64) -> Column:
+    """Struct of the log importance weight, the plain log ratio and the number of n-grams of a text."""
+    buckets, names = len(ratio), ["log_weight", "log_ratio", "n_ngrams"]
+    fixed_ratio = np.round(ratio * (1 << 20)).astype(np.int64)  # fixed-point sums: the same whatever else is in the batch
 
-    @F.pandas_udf("log_weight double, n_ngrams long")
-    def weigh(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("log_weight double, log_ratio double, n_ngrams long")
+    def weigh(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = WordHasher()
-        for batch in texts:
-            values = [x.lower().encode("utf-8", "surrogatepass") if isinstance(x, str) else b"" for x in batch]
-            out, at = [], 0
-            while at < len(values):
-                to, size = at, 0
-                while to < len(values) and (to == at or size < 4 << 20):
-                    size, to = size + len(values[to]), to + 1
-                part = values[at:to]
-                hashes, ends = hasher(np.frombuffer(b"".join(part), np.uint8), np.cumsum([len(x) for x in part], dtype=np.int64))
-                grams, number = ngram_buckets(hashes, ends, buckets)
-                # fixed-point sums: the same whatever else is in the batch
-                fixed = np.zeros(len(part), np.int64)
-                np.add.at(fixed, number, np.round(ratio[grams] * (1 << 20)).astype(np.int64))
-                n = np.bincount(number, minlength=len(part))
-                scale = full_ngrams / np.maximum(n, full_ngrams)
-                out.append(pd.DataFrame({"log_weight": fixed / (1 << 20) * scale, "n_ngrams": n}))
-                at = to
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"log_weight": [], "n_ngrams": []})
+        for column in texts:
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            out = []
+            for part in text_batches([batch], "text"):
+                grams, number = ngram_buckets(*hasher(*buffers(lowered(part.column(0)))), buckets)
+                fixed = np.zeros(part.num_rows, np.int64)
+                np.add.at(fixed, number, fixed_ratio[grams])
+                n = np.bincount(number, minlength=part.num_rows)
+                log_ratio = fixed / (1 << 20)
+                weight = log_ratio if full_ngrams is None else log_ratio * (full_ngrams / np.maximum(n, full_ngrams))
+                out.append(pa.StructArray.from_arrays([pa.array(weight), pa.array(log_ratio), pa.array(n)], names=names))
+            yield pa.concat_arrays(out) if out else pa.StructArray.from_arrays([pa.array([], t) for t in (pa.float64(), pa.float64(), pa.int64())], names=names)
 
     return weigh(text.cast("string"))
 
@@ -146,16 +145,16 @@ def kth_largest(values: DataFrame, column: str, k: int) -> int | None:
     return lo
 
 
-def resample(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", least: float = -3.0, share: float | None = None, full_ngrams: int = 64, seed: int = 4) -> DataFrame:
-    """``docs`` with log_weight, n_ngrams, gumbel_key and kept (boolean)."""
-    weight = log_weight(ratio, F.col(text_col), full_ngrams)
+def resample(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", least: float = -3.0, share: float | None = None, full_ngrams: int | None = 64, seed: int = 4, prefix: str = "") -> DataFrame:
+    """``docs`` with the columns ``ADDED``, named with ``prefix``; ``kept`` is boolean."""
+    held, key, keep = spare(docs, "weight"), prefix + ADDED[3], prefix + ADDED[4]
     noise = -F.log(-F.log(hash_unit(F.col(id_col).cast("string"), seed=seed)))
-    out = docs.withColumn("__w", weight)
-    out = out.withColumns({"log_weight": F.col("__w.log_weight"), "n_ngrams": F.col("__w.n_ngrams")}).drop("__w")
-    out = out.withColumn("gumbel_key", _sortable(F.col("log_weight") + noise))
-    keys = materialize(out.select("log_weight", "gumbel_key"), "gumbel-keys")
-    n, fit_well = keys.agg(F.count(F.lit(1)), F.count(F.when(F.col("log_weight") >= least, 1))).first()
+    weight = F.col(f"{held}.log_weight")
+    out = docs.withColumn(held, log_weight(ratio, F.col(text_col), full_ngrams)).withColumn(f"{held}k", _sortable(weight + noise))
+    keys = materialize(out.select(weight.alias("w"), F.col(f"{held}k").alias("k")), "gumbel-keys")
+    n, fit_well = keys.agg(F.count(F.lit(1)), F.count(F.when(F.col("w") >= least, 1))).first()
     k = fit_well if share is None else round(share * n)
-    lowest = kth_largest(keys, "gumbel_key", k)
-    kept = F.lit(False) if lowest is None else F.col("gumbel_key") >= F.lit(lowest)
-    return out.withColumn("kept", kept)
+    lowest = kth_largest(keys, "k", k)
+    kept = F.lit(False) if lowest is None else F.col(f"{held}k") >= F.lit(lowest)
+    found = {prefix + x: F.col(f"{held}.{x}") for x in ADDED[:3]} | {key: F.col(f"{held}k"), keep: kept}
+    return out.withColumns(found).drop(held, f"{held}k")
