@@ -15,14 +15,14 @@ committed are in the manifest, so the leavings of lost executors are never read.
 Defined results: a null html is an empty payload; rows with equal ids and
 payloads are all responses if their id is the smallest; null page ids are
 written as such, and never referred to while another page has the payload; an
-empty table gives an archive without files.
+empty table gives an archive without files; other columns are ignored. A record is
+held whole while it is written or read, so a task needs memory for its largest.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
 import uuid
 import zlib
@@ -49,7 +49,13 @@ def filesystem(path: str):
         if path.startswith("file:"):
             return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
         return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), os.path.abspath(path)
+    raise ValueError(f"a URI with its scheme is needed, as only that names the same file everywhere: {path}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of Spark's default file system if it has none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 # -- records -----------------------------------------------------------------
@@ -210,8 +216,14 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list(names))
 
 
-def read(files: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
-    """Records of the archives listed in ``files`` (path, size), read by byte ranges."""
+def read(files: DataFrame, *, split_bytes: int = 8 << 20, most_tasks: int = 100_000) -> DataFrame:
+    """Records of the archives listed in ``files`` (path, size), read by byte ranges.
+
+    Ranges are few bytes but much work, so they are dealt to a given number of tasks,
+    one for ``split_bytes`` of archives, which Spark doesn't put together by size.
+    """
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(most_tasks, n + size // split_bytes))
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start")).where("size > 0")
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("stop"))
 
@@ -230,7 +242,7 @@ def read(files: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return ranges.repartition("path", "start").mapInArrow(scan, RECORD)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(scan, RECORD)
 
 
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -258,7 +270,7 @@ def assign(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
 
 def write(pages: DataFrame, folder: str, *, level: int = 6, **options) -> DataFrame:
     """Write archives below ``folder`` (which all executors reach); returns the manifest (path, size, records)."""
-    folder = folder.rstrip("/")
+    folder = qualified(pages.sparkSession, folder).rstrip("/")
     root, inside = filesystem(folder)
     root.create_dir(inside, recursive=True)
 
