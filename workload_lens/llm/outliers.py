@@ -6,21 +6,28 @@ vectors are judged within their language and source: location and scatter are
 minimum-covariance-determinant estimates, and a text is rejected when its
 Mahalanobis distance is beyond the cut.
 
-The estimate starts from medians and quartile ranges and takes concentration
-steps: the ``share`` of vectors nearest by the present estimate gives the next
-mean and covariance, whose determinant never grows. A step is two aggregations
-that combine on the map side (a quantile sketch and sums), so a source with a
-third of all rows costs what its rows cost, in all tasks. The final scatter is
-scaled so that the median distance is that of a Gaussian.
+The estimate is the mean and the regularised covariance, that of the data plus a
+fixed floor for each variance (``FLOORS``), of the ``share`` of vectors for which
+the determinant is least. It is searched from three starts: quartile ranges, the
+covariance of hyperbolic tangents, and that of spatial signs. After
+``start_steps`` concentration steps the start with the least determinant goes on
+until the determinant stops falling, at most ``max_steps`` more. In a step the
+vectors nearest by the present estimate give the next one; as the floors are fixed,
+the regularised determinant can't grow, and an estimate that isn't better by
+rounding is not taken. A step is two aggregations that combine on the map side (a
+quantile sketch, exact for groups below ``accuracy`` rows, and sums), so a source
+with a third of all rows costs what its rows cost, in all tasks. The final scatter
+is scaled so that the median distance is that of a Gaussian, but never narrower.
 
 Groups smaller than ``min_group`` are pooled by language, and those that are
 still too small all together; a pool that is too small rejects nothing.
-Variances have a floor (``FLOORS``), or a group whose texts all lack symbols
-would reject the first symbol.
+Without floors a group whose texts all lack symbols would reject the first symbol.
 
 Defined results: a null text has no words and fails the base rules; null
 languages and sources are groups like others; repeated rows get equal results; an
-empty table stays empty.
+empty table stays empty; other columns are ignored, whatever their names. A long
+text is one row, whole: a task needs memory for some arrays of its words. Windows
+are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -84,13 +91,13 @@ def _vector() -> dict[str, Column]:
     }
 
 
-def _attach(rows: DataFrame, table: DataFrame, keys: list[str], most: int, salts: int) -> DataFrame:
-    """``rows`` left-joined with one row a group.
+def _attach(rows: DataFrame, table: DataFrame, keys: list[str], few: bool, salts: int) -> DataFrame:
+    """``rows`` left-joined with one row a group (and start).
 
-    The table is broadcast only when it was counted to have at most ``most`` rows;
-    otherwise each group is spread over ``salts`` join keys.
+    The table is broadcast only if ``few`` says that its groups were counted to be
+    few; otherwise each group is spread over ``salts`` join keys.
     """
-    if table.limit(most + 1).count() <= most:
+    if few:
         return rows.join(F.broadcast(table), keys, "left")
     spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int")).join(spread, [*keys, "__salt"], "left").drop("__salt")
@@ -106,7 +113,7 @@ def _distance(dims: tuple[str, ...]) -> Column:
 
 
 def _inverse_factor(table: DataFrame, dims: tuple[str, ...]) -> DataFrame:
-    """From covariances c_a_b to the inverse i_a_b of their Cholesky factor, a row a group."""
+    """From covariances c_a_b to the inverse i_a_b of their Cholesky factor and logdet, a row a group and start."""
     p = len(dims)
     for a in range(p):
         for b in range(a + 1):
@@ -121,15 +128,39 @@ def _inverse_factor(table: DataFrame, dims: tuple[str, ...]) -> DataFrame:
             else:
                 value = -reduce(lambda s, t: s + t, (F.col(f"l_{a}_{k}") * F.col(f"i_{k}_{b}") for k in range(b, a))) / F.col(f"l_{a}_{a}")
             table = table.withColumn(f"i_{a}_{b}", value)
-    return table.select("g", *(f"m_{a}" for a in range(p)), *(f"i_{a}_{b}" for a in range(p) for b in range(a + 1)))
+    logdet = reduce(lambda s, t: s + t, (-2 * F.log(f"i_{a}_{a}") for a in range(p)))
+    return table.select("g", "k", logdet.alias("logdet"), *(f"m_{a}" for a in range(p)), *(f"i_{a}_{b}" for a in range(p) for b in range(a + 1)))
+
+
+def _starts(learn: DataFrame, quartiles: DataFrame, few: bool, salts: int) -> DataFrame:
+    """Three scatters c_a_b about the medians m_a, a row each (k)."""
+    p = len(DIMS)
+    wide = quartiles
+    for a, d in enumerate(DIMS):
+        spread = (F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.349
+        wide = wide.withColumns({f"m_{a}": F.col(f"q_{a}")[1], f"s_{a}": F.sqrt(spread * spread + FLOORS[d] ** 2)})
+    wide = wide.drop(*(f"q_{a}" for a in range(p)))
+    z = _attach(learn, wide, ["g"], few, salts).where("m_0 is not null").select("g", *((F.col(d) - F.col(f"m_{a}")).__truediv__(F.col(f"s_{a}")).alias(f"z_{a}") for a, d in enumerate(DIMS)))
+    z = z.withColumn("r", F.sqrt(reduce(lambda s, t: s + t, (F.col(f"z_{a}") * F.col(f"z_{a}") for a in range(p)))))
+    tangent = [F.tanh(f"z_{a}") for a in range(p)]
+    sign = [F.when(F.col("r") > 0, F.col(f"z_{a}") / F.when(F.col("r") > 0, F.col("r"))).otherwise(0.0) for a in range(p)]
+    pairs = [(a, b) for a in range(p) for b in range(a + 1)]
+    found = z.groupBy("g").agg(*(F.covar_pop(u[a], u[b]).alias(f"{n}_{a}_{b}") for n, u in (("t", tangent), ("u", sign)) for a, b in pairs))
+    both = wide.join(found, "g")
+    out = None
+    for k, n in enumerate(("", "t", "u")):
+        at = lambda a, b: F.col(f"s_{a}") * F.col(f"s_{b}") * (F.col(f"{n}_{a}_{b}") if n else F.lit(float(a == b)))  # noqa: B023, E731
+        part = both.select("g", F.lit(k).alias("k"), *(f"m_{a}" for a in range(p)), *((at(a, b) + (FLOORS[DIMS[a]] ** 2 if n and a == b else 0.0)).alias(f"c_{a}_{b}") for a, b in pairs))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def _moments(rows: DataFrame, dims: tuple[str, ...]) -> DataFrame:
-    """Mean and covariance of each group, with the variances' floors."""
+    """Mean and covariance of each group and start, with the variances' floors."""
     p = len(dims)
     aggs = [F.avg(dims[a]).alias(f"m_{a}") for a in range(p)]
     aggs += [F.covar_pop(dims[a], dims[b]).alias(f"c_{a}_{b}") for a in range(p) for b in range(a + 1)]
-    table = rows.groupBy("g").agg(*aggs)
+    table = rows.groupBy("g", "k").agg(*aggs)
     for a in range(p):
         table = table.withColumn(f"c_{a}_{a}", F.col(f"c_{a}_{a}") + FLOORS[dims[a]] ** 2)
     return table
@@ -146,10 +177,10 @@ def _grouped(rows: DataFrame, min_group: int, most: int, salts: int) -> DataFram
     tag = lambda *parts: F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
     g = F.when(F.col("large"), tag(F.col("k.lang").alias("lang"), F.col("k.source").alias("source"))).when(F.col("pool") >= min_group, tag(F.col("lang"))).otherwise(F.lit("*"))
     groups = materialize(own.select("k", g.alias("g")), "outlier-groups")
-    return _attach(rows, groups, ["k"], most, salts).drop("k").withColumn("g", F.coalesce("g", F.lit("*")))
+    return _attach(rows, groups, ["k"], groups.limit(most + 1).count() <= most, salts).drop("k").withColumn("g", F.coalesce("g", F.lit("*")))
 
 
-def judge(stats: DataFrame, *, share: float = 0.75, steps: int = 4, cut: float = 40.0, min_group: int = 50, accuracy: int = 2000, broadcast_groups: int = 5000, salts: int = 32) -> DataFrame:
+def judge(stats: DataFrame, *, share: float = 0.75, start_steps: int = 2, max_steps: int = 20, tolerance: float = 1e-6, cut: float = 40.0, min_group: int = 50, accuracy: int = 10_000, broadcast_groups: int = 5000, salts: int = 32) -> DataFrame:
     """``stats`` with base_failed, distance (squared, null without an estimate) and kept.
 
     ``cut`` bounds the squared distance of DIMS dimensions; 40 is beyond all but
@@ -159,24 +190,39 @@ def judge(stats: DataFrame, *, share: float = 0.75, steps: int = 4, cut: float =
     rows = stats.withColumn("base_failed", base_failed()).withColumns(_vector())
     rows = materialize(_grouped(rows, min_group, broadcast_groups, salts), "outlier-rows")
     learn = rows.where("not base_failed").select("doc_id", "n_words", "word_chars", "g", *DIMS)
-    attach = lambda left, table: _attach(left, table, ["g"], broadcast_groups, salts)
-
     quartiles = learn.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(d, [0.25, 0.5, 0.75], accuracy).alias(f"q_{a}") for a, d in enumerate(DIMS)))
-    start = quartiles.where(F.col("n") >= min_group)
-    for a, d in enumerate(DIMS):
-        start = start.withColumn(f"m_{a}", F.col(f"q_{a}")[1])
-        spread = (F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.349
-        for b in range(a + 1):
-            start = start.withColumn(f"c_{a}_{b}", spread * spread + FLOORS[d] ** 2 if a == b else F.lit(0.0))
-    model = materialize(_inverse_factor(start, DIMS), "outlier-model")
-    for _ in range(steps):
-        near = attach(learn, model).where("m_0 is not null").withColumn("d", _distance(DIMS)).select("doc_id", "n_words", "word_chars", "g", *DIMS, "d")
-        limits = materialize(near.groupBy("g").agg(F.percentile_approx("d", share, accuracy).alias("limit")), "outlier-limits")
-        core = attach(near, limits).where("d <= limit")
-        model = materialize(_inverse_factor(_moments(core, DIMS), DIMS), "outlier-model")
-    middle = attach(learn, model).where("m_0 is not null").withColumn("d", _distance(DIMS)).groupBy("g").agg(F.percentile_approx("d", 0.5, accuracy).alias("middle"))
+    quartiles = materialize(quartiles.where(F.col("n") >= min_group).drop("n"), "outlier-quartiles")
+    few = quartiles.limit(broadcast_groups + 1).count() <= broadcast_groups
+    attach = lambda left, table, *keys: _attach(left, table, ["g", *keys], few, salts)
+
+    def distances(model: DataFrame) -> DataFrame:
+        found = attach(learn, model).where("m_0 is not null").withColumn("d", _distance(DIMS))
+        return found.select("doc_id", "n_words", "word_chars", "g", "k", *DIMS, "d")
+
+    def step(model: DataFrame) -> DataFrame:
+        """One concentration step of every start; the better of both estimates, with the determinant's fall."""
+        near = distances(model)
+        limits = materialize(near.groupBy("g", "k").agg(F.percentile_approx("d", share, accuracy).alias("limit")), "outlier-limits")
+        core = attach(near, limits, "k").where("d <= limit")
+        new = _inverse_factor(_moments(core, DIMS), DIMS)
+        best = F.min_by(F.struct(*new.columns), F.struct("logdet", "turn"))
+        both = model.select(*new.columns).withColumn("turn", F.lit(1)).union(new.withColumn("turn", F.lit(0)))
+        both = both.groupBy("g", "k").agg(best.alias("m"), (F.max_by("logdet", "turn") - F.min("logdet")).alias("fall"))
+        return materialize(both.select("m.*", "fall"), "outlier-model")
+
+    # what a start's own scatter measures is no subset's determinant: the first step always counts
+    model = materialize(_inverse_factor(_starts(learn, quartiles, few, salts), DIMS).withColumn("logdet", F.lit(float("inf"))), "outlier-model")
+    for _ in range(start_steps):
+        model = step(model)
+    best = F.min_by(F.struct(*model.columns), F.struct("logdet", "k"))
+    model = materialize(model.groupBy("g").agg(best.alias("m")).select("m.*"), "outlier-model")
+    for _ in range(max_steps):
+        model = step(model)
+        if (model.agg(F.max("fall")).first()[0] or 0.0) < tolerance:
+            break
+    middle = distances(model).groupBy("g").agg(F.percentile_approx("d", 0.5, accuracy).alias("middle"))
     # Never narrower than the estimate: shares that are mostly zero have a median near zero.
-    final = model.join(middle.withColumn("scale", F.greatest(F.col("middle") / _CHI2_HALF[p], F.lit(1.0))).drop("middle"), "g")
+    final = model.drop("k", "logdet", "fall").join(middle.withColumn("scale", F.greatest(F.col("middle") / _CHI2_HALF[p], F.lit(1.0))).drop("middle"), "g")
     final = materialize(final, "outlier-model")
     judged = attach(rows, final).withColumn("distance", _distance(DIMS) / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)
