@@ -33,7 +33,7 @@ from hashlib import blake2b
 from heapq import nsmallest
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,13 +91,13 @@ def fit(docs: DataFrame, *, usable: Column | None = None, id_col: str = "doc_id"
     if dictionary_bytes < 2 * per_language:
         raise ValueError("dictionary_bytes must hold a byte and a separator of each sampled text")
 
-    @F.pandas_udf("binary")
-    def read(texts: pd.Series) -> pd.Series:
-        return texts.map(letters)
+    @F.arrow_udf("binary")
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([letters(x.as_py()) for x in texts], pa.binary())
 
-    @F.pandas_udf("binary")
-    def pick(data: pd.Series, share: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([excerpt(x, int(n), int(k)) for x, n, k in zip(data, share, h)], dtype=object)
+    @F.arrow_udf("binary")
+    def pick(data: pa.Array, share: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array([excerpt(x.as_py(), n, k) for x, n, k in zip(data, share.to_pylist(), h.to_pylist())], pa.binary())
 
     rows = docs if usable is None else docs.where(usable)
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -162,12 +162,12 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
     ``lang_rejected``: no language, or a margin below ``min_margin``.
     """
 
-    @F.pandas_udf("lang_pred string, score double, margin double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, margin double")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = Classifier(dictionaries, level, block)
         for batch in texts:
-            rows = [one(x if isinstance(x, str) else None) for x in batch]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "margin"])
+            rows = [one(x.as_py()) for x in batch]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))], names=list(ADDED[:3]))
 
     held = spare(docs, "lang")
     out = docs.withColumn(held, predict(F.col(text_col).cast("string")))
