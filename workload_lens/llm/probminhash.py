@@ -17,10 +17,15 @@ rare elements, with two hubs first and then completely, as far as the bound on
 their similarity allows. So no pair that shares a bucket is left untested unless
 it can't be similar or its nodes are already in one class.
 
+Texts are signed where they lie and copies left out afterwards: that costs their
+signatures, but no shuffle of all texts.
+
 Defined results: a null text or id is a class of its own (its class id is the
 id); equal texts, empty ones included, are one class; texts without words are
-only ever equal, never near; rows with equal ids stay or go together; an empty
-table gives no rows. The class id is the smallest id of the class.
+only ever equal, never near; rows with equal ids are one class, whatever their
+texts; an empty table gives no rows; other columns are ignored. The class id is the
+smallest id of the class. A long text is compared whole, with some arrays of its
+words in memory. ``keep_one`` keeps one row of each class, and the docs' columns.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, buffers, materialize, mix64, text_batches
+from .common import WordHasher, buffers, materialize, mix64, spare, text_batches
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
@@ -118,13 +123,13 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def signature_table(docs: DataFrame, *, shingle: int, bands: int, rows: int) -> DataFrame:
-    """One row a document with words: id, keys (one a band)."""
+    """One row a document with words: id, digest, keys (one a band)."""
 
     def sign(batches):
         import pyarrow as pa
 
         hasher = WordHasher()
-        for batch in text_batches(batches, "text", 2 << 20):
+        for batch in text_batches(batches, "text"):
             hashes, ends = hasher(*buffers(batch.column(1)))
             elements, counts, text = shingles(hashes, ends, shingle)
             has = np.flatnonzero(np.bincount(text, minlength=len(ends)))
@@ -133,9 +138,9 @@ def signature_table(docs: DataFrame, *, shingle: int, bands: int, rows: int) ->
             number = np.searchsorted(has, text)
             keys = band_keys(signatures(elements, counts, number, len(has), bands * rows), bands, rows).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), lists], names=["id", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(has)) for i in (0, 2)), lists], names=["id", "digest", "keys"])
 
-    return docs.mapInArrow(sign, "id long, keys array<long>")
+    return docs.select("id", "text", "digest").mapInArrow(sign, "id long, digest binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, *, shingle: int, threshold: float) -> DataFrame:
@@ -184,34 +189,23 @@ def components(links: DataFrame) -> DataFrame:
 def element_counts(texts: DataFrame, shingle: int, size: int = 1 << 18) -> np.ndarray:
     """Roughly how many texts have an element, by its hash modulo ``size``; never too few.
 
-    Every task gives one row of counts and 16 tasks add them up, so what reaches
-    the driver is bounded by ``size``.
+    Every task gives a row a cell it met, and cells are summed in all tasks, so what
+    reaches the driver is bounded by ``size``.
     """
 
-    def give(total: np.ndarray):
+    def count(batches):
         import pyarrow as pa
 
-        at = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.int64())) for x in (at, total[at])], names=["at", "n"])
-
-    def count(batches):
         hasher, total = WordHasher(), np.zeros(size, np.int64)
-        for batch in text_batches(batches, "text", 2 << 20):
+        for batch in text_batches(batches, "text"):
             elements, _, _ = shingles(*hasher(*buffers(batch.column(1))), shingle)
             total += np.bincount((elements % np.uint64(size)).astype(np.int64), minlength=size)
-        yield give(total)
-
-    def add(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for at, n in zip(batch.column(0), batch.column(1)):
-                total[at.values.to_numpy()] += n.values.to_numpy()
-        yield give(total)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    kind = "at array<long>, n array<long>"
     out = np.zeros(size, np.int64)
-    for row in texts.select("id", "text").mapInArrow(count, kind).repartition(16).mapInArrow(add, kind).toLocalIterator():
-        out[row["at"]] += np.array(row["n"], dtype=np.int64)
+    for batch in texts.select("id", "text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out
 
 
@@ -232,7 +226,7 @@ def prefixes(texts: DataFrame, *, shingle: int, slack: float) -> DataFrame:
         import pyarrow as pa
 
         hasher = WordHasher()
-        for batch in text_batches(batches, "text", 2 << 20):
+        for batch in text_batches(batches, "text"):
             elements, weights, text = shingles(*hasher(*buffers(batch.column(1))), shingle)
             if not len(elements):
                 continue
@@ -259,7 +253,7 @@ def bitmaps(texts: DataFrame, *, shingle: int, words: int = 32) -> DataFrame:
         import pyarrow as pa
 
         hasher = WordHasher()
-        for batch in text_batches(batches, "text", 2 << 20):
+        for batch in text_batches(batches, "text"):
             elements, weights, text = shingles(*hasher(*buffers(batch.column(1))), shingle)
             n = batch.num_rows
             bits = np.zeros((n, words * 64), dtype=np.uint8)
@@ -291,22 +285,45 @@ def linkable(rows: DataFrame, slack: float) -> DataFrame:
     return near.where(F.col("excess") + partner <= slack + 1e-9)
 
 
+def _nodes(digests: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(one row a text: digest, first (its smallest id), node; links between texts that share an id, if there are any).
+
+    A text is named after its smallest id, or after a hash of its digest if that id
+    has other texts too.
+    """
+    nodes = digests.groupBy("digest").agg(F.min("id").alias("first"))
+    shared = materialize(digests.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id"), "shared-ids")
+    if shared.limit(1).count() == 0:
+        return materialize(nodes.withColumn("node", F.col("first")), "nodes"), None
+    marked = nodes.join(shared.select(F.col("id").alias("first"), F.lit(True).alias("shared")), "first", "left")
+    nodes = materialize(marked.select("digest", "first", F.when(F.col("shared"), F.xxhash64("digest")).otherwise(F.col("first")).alias("node")), "nodes")
+    named = digests.join(shared, "id").distinct().join(nodes, "digest").select("id", "node")
+    hubs = named.groupBy("id").agg(F.min("node").alias("a"))
+    return nodes, materialize(named.join(hubs, "id").where("a <> node").select("a", F.col("node").alias("b"), F.lit(None).cast("double").alias("similarity")), "same-ids")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bands: int = 25, rows: int = 5, threshold: float = 0.8, star_rounds: int = 1) -> DataFrame:
-    """One row a document: id, node (smallest id with an equal text), class_id."""
+    """One row a document: id, node (smallest id with an equal text), class_id, n_links.
+
+    ``n_links`` counts the pairs found similar that the text is in. They hold the
+    class together; pairs that were in one class already are not compared.
+    """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    usable = slim.where("id is not null and text is not null")
-    digests = materialize(usable.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")), "digests")
-    nodes = materialize(digests.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
+    usable = slim.where("id is not null and text is not null").withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    digests = materialize(usable.select("id", "digest"), "digests")
+    nodes, same_ids = _nodes(digests)
+    named = nodes.select(F.col("first").alias("id"), "digest", "node")
 
-    signed = signature_table(usable, shingle=shingle, bands=bands, rows=rows).join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
-    keys = materialize(signed.select("id", F.explode("keys").alias("key")).distinct(), "band-keys")
+    signed = signature_table(usable, shingle=shingle, bands=bands, rows=rows).join(named, ["id", "digest"])
+    keys = materialize(signed.select(F.col("node").alias("id"), F.explode("keys").alias("key")).distinct(), "band-keys")
     stars = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     members = materialize(keys.join(stars, "key"), "buckets")
 
     asked = materialize(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    wanted = members.select("id").distinct()
-    texts = materialize(usable.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    links = materialize(verified(asked, texts, shingle=shingle, threshold=threshold), "verified")
+    wanted = named.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    texts = materialize(usable.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).select(F.col("node").alias("id"), "text"), "texts")
+    links = verified(asked, texts, shingle=shingle, threshold=threshold)
+    links = materialize(links if same_ids is None else links.union(same_ids), "verified")
     labels = components(links)
 
     def ask(more: DataFrame) -> bool:
@@ -358,13 +375,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if not ask(pairs) and turn == "all":
                 break
 
-    classes = nodes.join(labels, "node", "left").select("digest", "node", F.coalesce("label", "node").alias("class_id"))
-    named = digests.join(classes, "digest").select("id", "node", "class_id")
-    alone = slim.where("id is null or text is null").select("id", F.col("id").alias("node"), F.col("id").alias("class_id"))
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = nodes.join(labels, "node", "left").join(degrees, "node", "left").select("digest", F.col("first").alias("node"), F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if same_ids is not None:  # labels may be names that are no ids
+        smallest = classes.groupBy("class_id").agg(F.min("node").alias("smallest"))
+        classes = classes.join(smallest, "class_id").select("digest", "node", F.col("smallest").alias("class_id"), "n_links")
+    named = digests.join(classes, "digest").select("id", "node", "class_id", "n_links")
+    alone = slim.where("id is null or text is null").select("id", F.col("id").alias("node"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return named.union(alone)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those whose class has a smaller id."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("id <> class_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """One row of ``docs`` for each class, that with the smallest id; rows without id or text all stay."""
+    own = spare(docs, "class")
+    found = materialize(near_duplicates(docs, id_col=id_col, **options).where("id is not null").select("id", "class_id"), "classes")
+    gone = found.where("id <> class_id").select(F.col("id").alias(own)).distinct()
+    key = F.col(id_col).cast("long")
+    kept = docs.join(gone, key == F.col(own), "left_anti")
+    again = materialize(found.where("id = class_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(own)), "repeated")
+    if again.limit(1).count() == 0:
+        return kept
+    return kept.join(again, key == F.col(own), "left_anti").union(kept.join(again, key == F.col(own), "left_semi").dropDuplicates([id_col]))
