@@ -3,8 +3,10 @@
 Lengths are whole numbers up to the capacity, so the histogram of lengths is all
 the packer has to see: ``plan`` packs the histogram on the driver (its size is
 bounded by the capacity, never by the corpus) and says which sequence the k-th
-piece of each length goes to. A piece's rank within its length comes from one
-count per (shard, length), so no task ever holds all pieces of a common length.
+piece of each length goes to. A piece's rank within its length is its rank in its
+shard, plus what earlier shards have of the length. A shard's ``capacity + 1`` such
+sums are one row, so ids are not shuffled, and no task ever holds all pieces of a
+common length.
 
 A bin is filled greedily, longest piece that fits first. If a gap is left, the
 bin's smallest piece is put back and two unpacked pieces whose lengths fill the
@@ -12,19 +14,21 @@ expanded gap better take its place. As many equal bins as the counts allow are
 closed at once.
 
 Defined results: null and empty texts are a single end id; repeated rows are all
-packed; an empty table gives no pieces; null ids are kept. Other columns are
-ignored. Longer documents are cut so that the first piece takes the remainder.
+packed, and told apart by ``row``, a number of each input row; an empty table gives
+no pieces; null ids are kept. Other columns are ignored. Longer documents are
+encoded whole, and cut so that the first piece takes the remainder.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_batches
 
-PIECES = "shard int, rank long, doc_id long, piece int, start long, length long, ids binary"
+PIECES = "shard int, rank long, row long, doc_id long, piece int, start long, length long, ids binary"
 
 
 def _fill(counts: np.ndarray, capacity: int) -> dict[int, int]:
@@ -101,7 +105,6 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str
     """Encoded pieces of at most ``capacity`` ids, ranked by length within each shard."""
 
     def cut(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         from .tokens import encoder
@@ -109,46 +112,49 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         seen: dict[int, int] = {}
+        row = shard << 40  # shards hold fewer rows than that
         for batch in text_batches(batches, "text"):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = enc.encode(text) + end
                 total = len(raw) // 4
-                start, piece = 0, 0
+                start, piece, row = 0, 0, row + 1
                 while start < total:
                     n = capacity if piece or total <= capacity else total % capacity or capacity
                     n = min(n, total - start)
                     rank = seen.get(n, 0)
                     seen[n] = rank + 1
-                    rows.append((shard, rank, i, piece, start, n, raw[4 * start : 4 * (start + n)]))
+                    rows.append((shard, rank, row, i, piece, start, n, raw[4 * start : 4 * (start + n)]))
                     start, piece = start + n, piece + 1
             cols = zip(*rows)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["shard", "rank", "doc_id", "piece", "start", "length", "ids"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["shard", "rank", "row", "doc_id", "piece", "start", "length", "ids"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, **options) -> DataFrame:
-    """Pieces with their place: doc_id, piece, start, length, ids, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, broadcast_shards: int = 2048, **options) -> DataFrame:
+    """Pieces with their place: doc_id, piece, start, length, ids, sequence_id, offset, row.
 
-    The encoded pieces are written once; the only shuffles are one row for each
-    (shard, length) and the pieces themselves on their way to their sequences.
+    The encoded pieces are written once. Each shard's row of sums is broadcast if
+    there are at most ``broadcast_shards``, or else joined by shard; a shard is one
+    split of the input, so none is larger than the others.
     """
     table = materialize(pieces(docs, tokenizer, capacity=capacity, **options), "pieces")
-    counts = table.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(table.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots, _ = plan(histogram, capacity)
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("shard", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def placed(length, rank):
-        import pandas as pd
-
-        sequence, offset = place(slots, length.to_numpy(dtype=np.int64), rank.to_numpy(dtype=np.int64))
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
-
-    joined = table.join(base, ["shard", "length"]).withColumn("at", placed("length", F.col("base") + F.col("rank")))
-    return joined.select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset")
+    sums = counts.select("shard", F.struct("length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n")).alias("sum"))
+    base = materialize(sums.groupBy("shard").agg(F.map_from_entries(F.collect_list("sum")).alias("sums")), "piece-sums")
+    few = base.limit(broadcast_shards + 1).count() <= broadcast_shards
+
+    @F.arrow_udf("sequence_id long, offset long")
+    def placed(length: pa.Array, rank: pa.Array) -> pa.Array:
+        found = place(slots, *(x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (length, rank)))
+        return pa.StructArray.from_arrays([pa.array(x) for x in found], names=["sequence_id", "offset"])
+
+    joined = table.join(F.broadcast(base) if few else base, "shard")
+    at = joined.withColumn("at", placed("length", F.col("sums")[F.col("length")] + F.col("rank")))
+    return at.select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset", "row")

@@ -33,13 +33,13 @@ def op2_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
-    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "row")
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     good = read_table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
-    return resample.resample(docs, resample.fit(docs, good)).select("doc_id", "log_weight", "n_ngrams", "gumbel_key", "kept")
+    return resample.resample(docs, resample.fit(docs, good)).select("doc_id", "log_weight", "log_ratio", "n_ngrams", "gumbel_key", "kept")
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op6_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = probminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), "n_links")
 
 
 def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
