@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +21,14 @@ from ..sources.schemas import PARAM
 # Names in plan JSON; conditions in the order they are read.
 CONDITIONS = ("Index Cond", "Hash Cond", "Filter", "Recheck Cond", "Join Filter", "Merge Cond")
 _NAMES = ("Schema", "Relation Name", "Alias")
-NODES = "array<struct<schema:string,relation:string,alias:string,conditions:array<string>>>"
-
-# A column compared with a parameter, and a list that begins with one.
-_COMPARED = r"(?U)(?:\(?(\w+)\.)?(\w+)\s*(?:=|<|>|<=|>=|<>|!=)\s*\$(\d+)|\$(\d+)\s*(?:=|<|>|<=|>=|<>|!=)\s*(?:\(?(\w+)\.)?(\w+)"
-_LISTED = r"(?U)(?:\(?(\w+)\.)?(\w+)\s+(?:=\s*ANY\s*\()?IN\s*\(\s*\$(\d+)"
+CONDITION = "array<struct<node:int,slot:int,schema:string,relation:string,alias:string,condition:string>>"
+
+# A column compared with a parameter, and a list that begins with one. Names are read whole, from their
+# first letter (or from where the last match ended), so that the time is linear in a condition's length.
+_NAME_BEGINS = r"(?:(?<!\w)|\G)(?:\(?\w++\.)?\w++"
+_OPERATOR = r"\s*+(?:[<>]=?|<>|!?=)\s*+"
+_COMPARED = rf"(?U){_NAME_BEGINS}{_OPERATOR}\$\d++|\$\d++{_OPERATOR}(?:\(?\w++\.)?\w++"
+_LISTED = rf"(?U){_NAME_BEGINS}\s++(?:=\s*ANY\s*\()?IN\s*\(\s*\$\d++"
 _PREPARED = "_workload_lens_plan"
 
 
@@ -48,51 +51,61 @@ def plan_nodes(text: str) -> list[dict]:
     return out
 
 
+def plan_conditions(text: str | None) -> dict:
+    """The conditions of a plan that name a parameter, in reading order; or why there are none."""
+    if text is None:
+        return {"conditions": [], "error": "EXPLAIN returned no rows"}
+    try:
+        nodes = plan_nodes(text)
+    except (ValueError, RecursionError) as e:
+        return {"conditions": [], "error": str(e) or "parse EXPLAIN JSON"}
+    found = []
+    for k, node in enumerate(nodes):
+        of = {x: node[x] for x in ("schema", "relation", "alias")}
+        found += [{"node": k, "slot": i, **of, "condition": c} for i, c in enumerate(node["conditions"]) if "$" in c]
+    return {"conditions": found, "error": None}
+
+
 def _listed(plan_json: Column) -> Column:
-    @F.pandas_udf(f"nodes {NODES}, error string")
-    def walk(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kinds = {"node": pa.int32(), "slot": pa.int32(), "schema": pa.string(), "relation": pa.string(), "alias": pa.string(), "condition": pa.string()}
+    answer = pa.struct({"conditions": pa.list_(pa.struct(kinds)), "error": pa.string()})
+
+    @F.arrow_udf(f"conditions {CONDITION}, error string")
+    def walk(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            rows = []
-            for x in batch:
-                try:
-                    rows.append(("EXPLAIN returned no rows", []) if not isinstance(x, str) else (None, plan_nodes(x)))
-                except (ValueError, RecursionError) as e:
-                    rows.append((str(e) or "parse EXPLAIN JSON", []))
-            yield pd.DataFrame({"nodes": [r[1] for r in rows], "error": [r[0] for r in rows]})
+            # equal texts of a batch are read once
+            told = batch.dictionary_encode(null_encoding="encode")
+            yield pa.array([plan_conditions(x) for x in told.dictionary.to_pylist()], answer).take(told.indices)
 
     return walk(plan_json)
 
 
 def _matches(condition: Column) -> Column:
-    """Array of struct(qualifier, column, position): comparisons first, then lists."""
-    group = lambda pattern, k: F.regexp_extract_all(condition, F.lit(pattern), F.lit(k))
-
-    def zipped(pattern: str, ks: tuple[int, ...], names: tuple[str, ...]) -> Column:
-        return F.arrays_zip(*(group(pattern, k).alias(n) for k, n in zip(ks, names)))
-
-    wide = F.transform(
-        zipped(_COMPARED, (1, 2, 3, 4, 5, 6), ("g1", "g2", "g3", "g4", "g5", "g6")),
-        lambda m: F.when(m["g3"] != "", F.struct(m["g1"].alias("qualifier"), m["g2"].alias("column"), m["g3"].alias("position"))).otherwise(
-            F.struct(m["g5"].alias("qualifier"), m["g6"].alias("column"), m["g4"].alias("position"))
-        ),
-    )
-    listed = F.transform(zipped(_LISTED, (1, 2, 3), ("g1", "g2", "g3")), lambda m: F.struct(m["g1"].alias("qualifier"), m["g2"].alias("column"), m["g3"].alias("position")))
-    return F.concat(wide, listed)
+    """Texts of the matches: comparisons first, then lists."""
+    whole = lambda pattern: F.regexp_extract_all(condition, F.lit(pattern), F.lit(0))
+    return F.concat(whole(_COMPARED), F.when(condition.contains("IN"), whole(_LISTED)).otherwise(F.array().cast("array<string>")))
 
 
 def findings(plans: DataFrame) -> DataFrame:
     """Every comparison of a parameter: fingerprint, error, at (its order), position, schema, table, column, confidence.
 
-    ``plans``: fingerprint, ``nodes`` and ``error`` (see ``listed``). A plan without
+    ``plans``: fingerprint, ``conditions`` and ``error`` (see ``listed``). A plan without
     a comparison gives a row without position, so that one pass serves both.
     """
-    nodes = plans.select("fingerprint", "error", F.posexplode_outer("nodes").alias("node", "n"))
-    relation, alias = F.col("n.relation"), F.col("n.alias")
-    table = F.when(relation != "", relation).otherwise(alias)
-    given = F.filter(F.transform("n.conditions", lambda c, i: F.struct(i.alias("slot"), c.alias("condition"))), lambda x: x["condition"] != "")
-    conditions = nodes.select("fingerprint", "error", "node", F.col("n.schema").alias("schema"), relation.alias("relation"), alias.alias("alias"), table.alias("table"), F.explode_outer(given).alias("c"))
-    found = conditions.select("*", F.posexplode_outer(_matches(F.col("c.condition"))).alias("match", "m"))
-    qualifier = F.col("m.qualifier")
+    conditions = plans.select("fingerprint", "error", F.inline_outer("conditions"))
+    found = conditions.select("*", F.posexplode_outer(_matches(F.col("condition"))).alias("match", "m"))
+    # A match has one parameter, and a name before or after it: what neither blanks nor operators are.
+    m = F.col("m")
+    after = m.startswith("$")
+    found = found.withColumns(
+        {
+            "name": F.when(after, F.regexp_extract(m, r"(?U)[^\s=<>!]+\z", 0)).otherwise(F.regexp_extract(m, r"(?U)^[^\s=<>!]+", 0)),
+            "number": F.when(after, F.regexp_extract(m, r"(?U)^\$(\d+)", 1)).otherwise(F.substring_index(m, "$", -1)),
+            "table": F.when(F.col("relation") != "", F.col("relation")).otherwise(F.col("alias")),
+        }
+    )
+    found = found.withColumn("qualifier", F.when(F.col("name").contains("."), F.ltrim(F.substring_index("name", ".", 1), F.lit("("))).otherwise(""))
+    qualifier = F.col("qualifier")
     # A qualifier is known if it is the relation or its alias; an empty one never is.
     known = (qualifier != "") & ((qualifier == F.col("relation")) | (qualifier == F.col("alias")))
     there = F.col("table") != ""
@@ -100,30 +113,33 @@ def findings(plans: DataFrame) -> DataFrame:
     return found.select(
         "fingerprint",
         "error",
-        F.struct("node", "c.slot", "match").alias("at"),
-        F.col("m.position").try_cast("int").alias("position"),
+        F.struct("node", "slot", "match").alias("at"),
+        F.col("number").try_cast("int").alias("position"),
         F.when(known | there, F.col("schema")).otherwise("").alias("schema"),
         F.when(known | there, F.col("table")).otherwise("").alias("table"),
-        F.col("m.column").alias("column"),
+        F.substring_index("name", ".", -1).alias("column"),
         confidence.alias("confidence"),
     )
 
 
 def listed(plans: DataFrame) -> DataFrame:
-    """``plans`` (fingerprint, plan_json, optional error) with nodes and error."""
-    out = plans.withColumn("__p", _listed(F.col("plan_json")))
+    """``plans`` (fingerprint, plan_json, optional error) with conditions and error."""
     given = F.col("error") if "error" in plans.columns else F.lit(None).cast("string")
-    return out.select("fingerprint", F.when(given.isNull(), F.col("__p.nodes")).otherwise(F.array().cast(NODES)).alias("nodes"), F.coalesce(given, F.col("__p.error")).alias("error"))
+    out = plans.withColumn("__p", _listed(F.when(given.isNull(), F.col("plan_json"))))
+    return out.select("fingerprint", F.col("__p.conditions").alias("conditions"), F.coalesce(given, F.col("__p.error")).alias("error"))
 
 
 def _reduced(plans: DataFrame) -> DataFrame:
     """fingerprint, position, param, error, ok; a row without position tells of the other plans."""
-    record = F.struct(F.col("position"), "schema", "table", "column", "confidence", F.lit("").alias("note"))
-    rows = findings(listed(plans)).select("fingerprint", "error", "position", "at", "confidence", F.when(F.col("position").isNotNull(), record).alias("param"))
-    exact = F.col("confidence") == "exact"
-    first = F.min_by(F.when(exact, F.col("param")), F.when(exact, F.col("at")))
-    last = F.max_by(F.when(~exact, F.col("param")), F.when(~exact, F.col("at")))
-    return rows.groupBy("fingerprint", "position").agg(F.coalesce(first, last).alias("param"), F.max("error").alias("error"), F.bool_or(F.col("error").isNull()).alias("ok"))
+    late = (F.col("confidence") != "exact").cast("int")
+    sign = 1 - 2 * late
+    # The least record is the first exact one, or else the last one.
+    place = (late.alias("late"), *((sign * F.col(f"at.{k}")).alias(k) for k in ("node", "slot", "match")))
+    record = F.struct(*place, "schema", "table", "column", "confidence")
+    rows = findings(listed(plans)).select("fingerprint", "error", "position", F.when(F.col("position").isNotNull(), record).alias("r"))
+    best = rows.groupBy("fingerprint", "position").agg(F.min("r").alias("r"), F.max("error").alias("error"), F.bool_or(F.col("error").isNull()).alias("ok"))
+    param = F.struct("position", "r.schema", "r.table", "r.column", "r.confidence", F.lit("").alias("note"))
+    return best.select("fingerprint", "position", F.when(F.col("position").isNotNull(), param).alias("param"), "error", "ok")
 
 
 def parameters(plans: DataFrame) -> DataFrame:
